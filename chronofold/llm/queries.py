@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronofold.llm import mixing, ogg, packing, pii, secrets, simhash
+from chronofold.llm import langid, mixing, ogg, packing, pii, quality, secrets, simhash
 from chronofold.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,10 @@ def op4_media_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg.media_digest(documents(spark, sf_dir))
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.predict_all(documents(spark, sf_dir))
+
+
 def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
@@ -36,6 +40,11 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.groups(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_pii, op2_secret_ownership, op3_mix_sources, op4_media_ogg, op8_pack, op9_simhash)}
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return quality.rate(docs, quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), quality.grade_of()))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_pii, op2_secret_ownership, op3_mix_sources, op4_media_ogg, op6_language, op8_pack, op9_simhash, op10_quality)}
 
 ORACLE_SQL: dict[str, str] = {}
