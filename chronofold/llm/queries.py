@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronofold.llm import langid, linededup, mixing, ogg, packing, pii, quality, secrets, simhash
+from chronofold.llm import codesearch, langid, linededup, mixing, ogg, packing, pii, quality, secrets, simhash
 from chronofold.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,10 @@ def op4_media_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg.media_digest(documents(spark, sf_dir))
 
 
+def op5_binary_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codesearch.search_embeddings(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict_all(documents(spark, sf_dir))
 
@@ -49,6 +53,6 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.rate(docs, quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), quality.grade_of()))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_pii, op2_secret_ownership, op3_mix_sources, op4_media_ogg, op6_language, op7_line_chunks, op8_pack, op9_simhash, op10_quality)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_pii, op2_secret_ownership, op3_mix_sources, op4_media_ogg, op5_binary_top_k, op6_language, op7_line_chunks, op8_pack, op9_simhash, op10_quality)}
 
-ORACLE_SQL: dict[str, str] = {"op7_line_chunks": linededup.SQL}
+ORACLE_SQL: dict[str, str] = {"op5_binary_top_k": codesearch.SQL, "op7_line_chunks": linededup.SQL}
