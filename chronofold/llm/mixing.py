@@ -124,3 +124,27 @@ def mix_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.col(f"{OWN}target").alias("target"),
         (F.col(f"{OWN}copies") * F.col(f"{OWN}size")).alias("taken"),
     )
+
+
+_DRAWN = ", ".join(f"sum((floor(step * rank + (u + {k} / {DRAWS}.0) % 1.0) - floor(step * (rank - 1) + (u + {k} / {DRAWS}.0) % 1.0)) * size) AS w{k}" for k in range(DRAWS))
+_NEAREST = ", ".join(f"{{'off': abs(w{k} - target), 'k': {k}}}" for k in range(DRAWS))
+
+SQL = rf"""
+WITH sized AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
+sources AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, 2.0::DOUBLE * sum(size) AS cap FROM sized GROUP BY source),
+ranked AS (SELECT *, list_extract([{', '.join(map(str, WEIGHTS))}], CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(WEIGHTS)} + 1 AS BIGINT)) AS w FROM sources),
+levels AS (
+  SELECT *, (sum(source_size) OVER () * {BUDGET}::DOUBLE - coalesce(sum(cap) OVER earlier, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER earlier, 0)) AS level
+  FROM ranked WINDOW earlier AS (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), settled AS (SELECT arg_min(level, (cap / w, source)) FILTER (level * w < cap) AS height FROM levels),
+targets AS (SELECT source, source_size, coalesce(least(cap, height * w), cap) AS target FROM levels, settled),
+placed AS (
+  SELECT s.*, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS step,
+    row_number() OVER (PARTITION BY s.source ORDER BY s.size, s.doc_id) AS rank, (('0x' || substr(md5('{SEED}:' || s.source), 1, 3))::BIGINT + 0.5) / 4096.0::DOUBLE AS u
+  FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source
+), tried AS (SELECT source, min(target) AS target, {_DRAWN} FROM placed GROUP BY source),
+drawn AS (SELECT source, list_min([{_NEAREST}]).k AS k FROM tried)
+SELECT doc_id, size, source_size, target,
+  CAST((floor(step * rank + (u + k / {DRAWS}.0) % 1.0) - floor(step * (rank - 1) + (u + k / {DRAWS}.0) % 1.0)) * size AS BIGINT) AS taken
+FROM placed p JOIN drawn d ON p.source IS NOT DISTINCT FROM d.source
+"""

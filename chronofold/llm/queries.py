@@ -55,4 +55,4 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_pii, op2_secret_ownership, op3_mix_sources, op4_media_ogg, op5_binary_top_k, op6_language, op7_line_chunks, op8_pack, op9_simhash, op10_quality)}
 
-ORACLE_SQL: dict[str, str] = {"op5_binary_top_k": codesearch.SQL, "op7_line_chunks": linededup.SQL}
+ORACLE_SQL: dict[str, str] = {"op3_mix_sources": mixing.SQL, "op5_binary_top_k": codesearch.SQL, "op7_line_chunks": linededup.SQL}
