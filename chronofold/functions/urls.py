@@ -83,8 +83,8 @@ def canonical(url: Column) -> Column:
     rest = (
         F.when(~bare & tail.startswith("/"), F.concat(where, tail))
         .when(~bare, F.concat(where, F.lit("/"), tail))
-        .when(tail.startswith("//") | (kind.isin(*_WITH_AUTHORITY) & tail.startswith("/")), F.concat(kind, F.lit("://"), tail))
-        .otherwise(F.concat(kind, F.lit(":"), tail))
+        .when(bare & (tail.startswith("//") | (kind.isin(*_WITH_AUTHORITY) & tail.startswith("/"))), F.concat(kind, F.lit("://"), tail))
+        .when(bare, F.concat(kind, F.lit(":"), tail))
     )
     return F.concat(rest, F.regexp_replace(F.concat(F.lit("?"), form(query(url), TRACKING)), r"^\?$", ""))
 
