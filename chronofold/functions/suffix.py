@@ -38,7 +38,9 @@ def rules() -> tuple[tuple[str, int], ...]:
             out.add((rule, kind))
             if not rule.isascii():
                 out.add((rule.encode("idna").decode(), kind))
-    return tuple(sorted(out))[:MOST_RULES]
+    if len(out) > MOST_RULES:
+        raise ValueError(f"{len(out)} suffix rules are too many to send to every task")
+    return tuple(sorted(out))
 
 
 def rule_table(spark: SparkSession) -> DataFrame:

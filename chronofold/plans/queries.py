@@ -15,8 +15,11 @@ from chronofold.operators import checkpoints as C
 from chronofold.operators import dedupe, discovery, parsers
 from chronofold.operators import evidence as E
 from chronofold.operators import lifecycle as L
+from chronofold.plans import classify as classification
 from chronofold.plans import fixtures as X
 from chronofold.plans import summary as Y
+from chronofold.sources import files, raw
+from chronofold.sources.store import Store
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -615,6 +618,38 @@ def q_parse_timemap_link(spark, sf_dir):
     return _flat(pages, parsers.timemap(F.col("text")), "capture_time", "memento_url", "record_id")
 
 
+# --- stores ----------------------------------------------------------------
+
+
+@query(f"WITH {X.sql()} SELECT url_id, observer AS witness, status || ':' || content_length AS payload FROM obs WHERE status <> 'access_restricted'")
+def q_raw_roundtrip(spark, sf_dir):
+    out = files.scratch(spark, "raw")
+    text = F.when(F.col("status") == S.RESTRICTED, "").otherwise(F.concat_ws(":", "status", "content_length"))
+    rows = X.observations(spark, sf_dir).select("url_id", F.col("observer").alias("witness"), F.col("observation_time").cast("timestamp").alias("stored_at"), text.alias("payload"))
+    raw.append(rows, out)
+    return raw.read(spark, out).select("url_id", "witness", "payload")
+
+
+@query(f"WITH {X.sql()} SELECT url_id, archive, capture_time, status, digest, content_length FROM cap")
+def q_export_roundtrip(spark, sf_dir):
+    out = files.scratch(spark, "export")
+    store = Store(spark, out)
+    store.append("captures", X.captures(spark, sf_dir))
+    store.export(f"{out}/export")
+    back = spark.read.parquet(f"{out}/export/captures.parquet")
+    return back.select("url_id", "archive", F.col("capture_time").cast("timestamp_ntz").alias("capture_time"), "status", "digest", "content_length")
+
+
+@query(fold_sql() + "SELECT url_id, event_type, event_start, event_end, confidence, evidence_count, witness_count, archive FROM evs")
+def q_classify_stored(spark, sf_dir):
+    """The whole second half of a run: tables are appended, classified and read again."""
+    store = Store(spark, files.scratch(spark, "classify"))
+    store.append("observations", X.observations(spark, sf_dir))
+    store.append("captures", X.captures(spark, sf_dir))
+    classification.classify(store, X.YEARS)
+    return store.read("events").withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("event_start", "event_end")})
+
+
 @query()
 def q_reservoir_sample(spark, sf_dir):
     return dedupe.sample_rows(X.table(spark, sf_dir, "pages").select("page_id", "url"), 25, "url")

@@ -2,9 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import SparkSession
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path of its own in the folder that all executors share; it goes when the driver ends."""
+    path = f"{spark.conf.get('spark.checkpoint.dir').rstrip('/')}/chronofold/{name}-{uuid.uuid4().hex}"
+    p, fs = _open(spark, path)
+    fs.mkdirs(p)
+    fs.deleteOnExit(p)
+    return path
+
+
 def _open(spark: SparkSession, path: str):
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
