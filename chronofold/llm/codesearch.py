@@ -147,6 +147,9 @@ def top_k(base: DataFrame, queries: DataFrame, k: int, id_col: str, code_col: st
     ask_blocks = max(1, ceil(n_asked / block))
     dealt = entries.withColumn("i", F.pmod(F.xxhash64("code"), F.lit(blocks)).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(ask_blocks - 1))))
     posed = distinct.withColumn("j", F.pmod(F.xxhash64("code"), F.lit(ask_blocks)).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    # A task for each pair of blocks, however few bytes they have: the work is in the comparison.
+    tasks = 2 * blocks * ask_blocks
+    dealt, posed = dealt.repartition(tasks, "i", "j"), posed.repartition(tasks, "i", "j")
     found = dealt.groupBy("i", "j").cogroup(posed.groupBy("i", "j")).applyInArrow(_task(k), "code long, id long, distance long")
     rank = F.row_number().over(Window.partitionBy("code").orderBy("distance", "id"))
     best = found.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)
