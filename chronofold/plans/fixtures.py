@@ -15,9 +15,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages").agg(F.count(F.lit(1)).alias("pages"))
-    ev = table(spark, sf_dir, "events").crossJoin(F.broadcast(pages))  # one row
-    return ev.withColumn("page_id", F.col("event_id") % F.col("pages")).withColumn("k", F.get_json_object("props", "$.k").cast("int"))
+    pages = table(spark, sf_dir, "pages").agg(F.count(F.lit(1))).scalar()
+    return table(spark, sf_dir, "events").withColumn("page_id", F.col("event_id") % pages).withColumn("k", F.get_json_object("props", "$.k").cast("int"))
 
 
 def observations(spark: SparkSession, sf_dir: str, unit: str = "second") -> DataFrame:
