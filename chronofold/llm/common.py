@@ -99,6 +99,22 @@ def map_texts(
     return source.mapInArrow(run, out)
 
 
+#: Keys with more rows than this share of all, or than HOT_ROWS, are joined by broadcast: fewer than HOT_KEYS can have so many.
+HOT_KEYS, HOT_ROWS = 100_000, 100
+
+
+def join_counted(rows: DataFrame, table: DataFrame, key: str, n: str, total: int) -> DataFrame:
+    """``rows`` joined with ``table``, which has each key once with the number ``n`` of its rows; ``total`` is their sum.
+
+    Rows of hot keys stay where they are: there are fewer than HOT_KEYS keys with more than
+    ``total / HOT_KEYS`` rows, so these go to every task. Only the others are shuffled.
+    """
+    most = max(HOT_ROWS, total // HOT_KEYS)
+    hot = F.broadcast(table.where(F.col(n) > most).drop(n))
+    cold = table.where(F.col(n) <= most).drop(n)
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(cold, key))
+
+
 def words(text: Column) -> Column:
     """The number of ``[^\\x20\\x09-\\x0D]+`` in a text; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")

@@ -13,9 +13,10 @@ Chunks are matched by md5 and then byte by byte: of each hash the least and the
 are compared, and where they differ the hash is split by its texts.
 
 DataFrame functions only. Counting moves (hash, place) pairs, aggregated before they are
-shuffled; only texts of chunks whose hash repeats are moved for the comparison, aggregated
-likewise. No chunk, however common, is gathered anywhere. Decisions go back to documents by
-(id, hash of the text).
+shuffled. Marks of repeated chunks go back to documents by (id, hash of the text), once to
+compare the texts of marked chunks, which are aggregated before they are shuffled, and once
+to cut them. No chunk, however common, is gathered anywhere: places of very
+common ones are joined where they are.
 
 A null text stays null and has no lines; an empty text has one empty line. Rows that repeat
 both id and text count as one place, and keep the same lines. A document may be left with an
@@ -27,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronofold.llm.common import OWN, materialise
+from chronofold.llm.common import OWN, join_counted, materialise
 
 PASSAGE_WORDS = 50
 _LINES, _HASHES, _ROLLING, _ENDS, _TEXT_HASH = (f"{OWN}{x}" for x in ("lines", "hashes", "rolling", "ends", "th"))
@@ -57,41 +58,54 @@ def with_chunks(docs: DataFrame, id_col: str, text_col: str, passage_words: int
     return df.where((lines >= 2) | (F.col("first") == F.col("last"))).select(id_col, _TEXT_HASH, "first", "last", F.array_join("part", "\n").alias("unit"))
 
 
+def unit_hash(unit: Column) -> Column:
+    return F.md5(unit)
+
+
 def _place(id_col: str) -> Column:
     return F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("i"), F.col(_TEXT_HASH).alias("t"), F.col("first").alias("f"))
 
 
-def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", passage_words: int | None = PASSAGE_WORDS) -> DataFrame:
-    """(id, text hash, first, last) of every chunk that occurs before."""
-    units = with_chunks(docs, id_col, text_col, passage_words).withColumn("hash", F.md5("unit"))
+def marks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", passage_words: int | None = PASSAGE_WORDS) -> DataFrame:
+    """(``__cf_id``, ``__cf_th2``, ``__cf_marks``): for each document its chunks whose hash repeats; ``later`` if another place comes before."""
+    units = with_chunks(docs, id_col, text_col, passage_words)
+    narrow = materialise(units.select(id_col, _TEXT_HASH, "first", "last", unit_hash(F.col("unit")).alias("hash")), "line-chunks")
     place = _place(id_col)
-    narrow = materialise(units.select(id_col, _TEXT_HASH, "first", "last", "hash"), "line-chunks")
-    again = narrow.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("start")).where("n > 1").select("hash", "start")
+    again = narrow.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("start")).where("n > 1")
     again = materialise(again, "line-hashes")
-
-    texts = units.join(again, "hash").groupBy("hash").agg(F.min("unit").alias("least"), F.max("unit").alias("greatest"))
-    texts = materialise(texts.select("hash", (F.col("least") == F.col("greatest")).alias("same")), "line-bytes")
-    one_text = again.join(texts.where("same"), "hash").select("hash", "start")
-    gone = narrow.join(one_text, "hash").where(place > F.col("start")).select(id_col, _TEXT_HASH, "first", "last")
-    mixed = texts.where(~F.col("same"))
-    if mixed.isEmpty():
-        return gone
-    # Different texts of one hash: each text on its own.
-    split = units.join(mixed, "hash")
-    first = split.groupBy("hash", "unit").agg(F.min(place).alias("start"))
-    return gone.union(split.join(first, ["hash", "unit"]).where(place > F.col("start")).select(id_col, _TEXT_HASH, "first", "last"))
+    found = join_counted(narrow, again, "hash", "n", narrow.count())
+    mark = F.struct("first", "last", "hash", (place > F.col("start")).alias("later"))
+    return found.groupBy(F.col(id_col).alias(f"{OWN}id"), F.col(_TEXT_HASH).alias(f"{OWN}th2")).agg(F.collect_set(mark).alias(f"{OWN}marks"))
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", passage_words: int | None = PASSAGE_WORDS, report: bool = False) -> DataFrame:
     """``docs`` without the repeated lines; with ``report`` also ``__cf_gone``, the line numbers removed, null if none."""
-    gone = repeated(docs, id_col, text_col, passage_words)
-    cut = F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.sequence("first", "last")))))
-    per_doc = gone.groupBy(F.col(id_col).alias(f"{OWN}id"), F.col(_TEXT_HASH).alias(f"{OWN}th2")).agg(cut.alias(f"{OWN}gone"))
+    marked = materialise(marks(docs, id_col, text_col, passage_words), "line-marks")
     keyed = docs.withColumn(_TEXT_HASH, F.xxhash64(text_col))
-    joined = keyed.join(per_doc, F.col(id_col).eqNullSafe(F.col(f"{OWN}id")) & (F.col(_TEXT_HASH) == F.col(f"{OWN}th2")), "left").withColumn(_LINES, F.split(text_col, "\n", -1))
+    same_doc = F.col(id_col).eqNullSafe(F.col(f"{OWN}id")) & (F.col(_TEXT_HASH) == F.col(f"{OWN}th2"))
+    joined = keyed.join(marked, same_doc, "left").drop(f"{OWN}id", f"{OWN}th2")
+
+    lines = keyed.join(marked, same_doc).select(id_col, _TEXT_HASH, F.split(text_col, "\n", -1).alias(_LINES), F.explode(f"{OWN}marks").alias("m"))
+    units = lines.select(id_col, _TEXT_HASH, "m.first", "m.last", "m.hash", F.expr(f"array_join(slice({_LINES}, m.first + 1, m.last - m.first + 1), '\\n')").alias("unit"))
+    mixed = units.groupBy("hash").agg(F.min("unit").alias("a"), F.max("unit").alias("b")).where("a <> b").select("hash")
+    mixed = materialise(mixed, "line-collisions")
+    later = F.filter(f"{OWN}marks", lambda m: m["later"])
+    if not mixed.isEmpty():
+        # Several texts share a hash: for these the first place is found for each text.
+        place = _place(id_col)
+        split = units.join(mixed, "hash")
+        first = split.groupBy("hash", "unit").agg(F.min(place).alias("start"))
+        again = split.join(first, ["hash", "unit"]).select(id_col, _TEXT_HASH, F.struct("first", "last", "hash", (place > F.col("start")).alias("later")).alias("m"))
+        again = again.groupBy(F.col(id_col).alias(f"{OWN}id"), F.col(_TEXT_HASH).alias(f"{OWN}th2")).agg(F.collect_set("m").alias(f"{OWN}again"))
+        joined = joined.join(again, same_doc, "left").drop(f"{OWN}id", f"{OWN}th2")
+        retold = F.coalesce(f"{OWN}again", F.array().cast(joined.schema[f"{OWN}again"].dataType))
+        own = F.filter(later, lambda m: ~F.exists(retold, lambda x: (x["first"] == m["first"]) & (x["last"] == m["last"])))
+        later = F.concat(own, F.filter(retold, lambda m: m["later"]))
+    gone = F.array_sort(F.array_distinct(F.flatten(F.transform(later, lambda m: F.sequence(m["first"], m["last"])))))
+    cut = joined.withColumn(f"{OWN}gone", F.when(F.size(gone) > 0, gone)).withColumn(_LINES, F.split(text_col, "\n", -1))
     kept = F.expr(f"array_join(transform(array_except(sequence(0, size({_LINES}) - 1), {OWN}gone), i -> get({_LINES}, i)), '\\n')")
     text = F.when(F.col(f"{OWN}gone").isNull(), F.col(text_col)).otherwise(kept)
-    return joined.select(*(text.alias(c) if c == text_col else F.col(c) for c in docs.columns), *([f"{OWN}gone"] if report else []))
+    return cut.select(*(text.alias(c) if c == text_col else F.col(c) for c in docs.columns), *([f"{OWN}gone"] if report else []))
 
 
 def dedup_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", passage_words: int | None = PASSAGE_WORDS) -> DataFrame:
