@@ -21,6 +21,11 @@ _TIMEMAP = "struct<mementos:struct<list:array<struct<datetime:string,uri:string>
 _LINK = r'<([^>]+)>\s*;\s*rel="memento"[^,]*?datetime="([^"]+)"'
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _capture(t: Column, url, mime="", status="", digest="", file="", record="", length=None) -> Column:
     as_col = lambda x: x if isinstance(x, Column) else F.lit(x)
     return F.struct(
@@ -35,22 +40,30 @@ def _timed(captures: Column) -> Column:
 
 def table(text: Column) -> Column:
     """Rows under a header whose names say where each field is; rows too short for a named field, or without a time, go."""
-    rows = F.from_json(text, _ROWS)
-    header = F.get(rows, 0)
-
-    def one(row: Column) -> Column:
-        at = lambda name: F.array_position(header, name)
-        value = lambda name: F.when(at(name) > 0, F.coalesce(F.get(row, at(name) - 1), F.lit("None" if name == "statuscode" else None))).otherwise(None if name == "length" else "")
-        names = ("timestamp", "original", "mimetype", "statuscode", "digest", "filename", "length")
-        short = F.greatest(*(at(n) for n in names)) > F.size(row)
-        time = F.when((at("timestamp") > 0) & ~short, timestamp14(value("timestamp")))
+    names = ("timestamp", "original", "mimetype", "statuscode", "digest", "filename", "length")
+
+    def one(row: Column, at: Column) -> Column:
+        value = lambda n: F.when(at[n] > 0, F.coalesce(F.get(row, at[n] - 1), F.lit("None" if n == "statuscode" else None))).otherwise(None if n == "length" else "")
+        short = at["most"] > F.size(row)
+        time = F.when((at["timestamp"] > 0) & ~short, timestamp14(value("timestamp")))
         return _capture(time, value("original"), value("mimetype"), value("statuscode"), value("digest"), value("filename"), value("timestamp"), value("length"))
 
-    return _timed(F.transform(F.filter(F.slice(rows, 2, F.greatest(F.size(rows), F.lit(1))), lambda r: F.size(r) > 0), one))
+    def places(header: Column) -> Column:
+        each = [F.array_position(header, n) for n in names]
+        return F.struct(*(e.alias(n) for e, n in zip(each, names, strict=True)), F.greatest(*each).alias("most"))
+
+    def read(rows: Column) -> Column:
+        some = F.filter(F.slice(rows, 2, F.greatest(F.size(rows), F.lit(1))), lambda r: F.size(r) > 0)
+        return _let(places(F.get(rows, F.lit(0))), lambda at: F.transform(some, lambda r: one(r, at)))
+
+    return _timed(_let(F.from_json(text, _ROWS), read))
 
 
 def _object_line(line: Column) -> Column:
-    o = F.from_json(line, _OBJECT)
+    return _let(F.from_json(line, _OBJECT), lambda o: _object(line, o))
+
+
+def _object(line: Column, o: Column) -> Column:
     # An object's missing names are empty texts; a status that is null is the word.
     present = lambda name: F.coalesce(o[name], F.lit(""))
     status = F.coalesce(o["status"], F.when(line.rlike(r'"status"\s*:\s*null'), "None").otherwise(""))
@@ -58,7 +71,10 @@ def _object_line(line: Column) -> Column:
 
 
 def _field_line(line: Column) -> Column:
-    f = F.split(F.trim(line), r"\s+")
+    return _let(F.split(F.trim(line), r"\s+"), _fields)
+
+
+def _fields(f: Column) -> Column:
     n, at = F.size(f), lambda i: F.get(f, F.lit(i))
     time = F.when((n >= 7) & at(1).rlike("^[0-9]{4,14}$"), timestamp14(at(1)))
     length = F.when(n == 7, at(6)).when(n >= 11, at(8))
