@@ -360,20 +360,24 @@ def q_events_lifespan(spark, sf_dir):
     return L.events(_witnesses(spark, sf_dir, False), with_changes=False)
 
 
-_CAP = """cap_agg AS (
-  SELECT url_id, min(capture_time) AS first_appearance, max(capture_time) AS last_appearance, arg_min(archive, (capture_time, archive)) AS first_archive, arg_max(archive, (capture_time, archive)) AS last_archive,
-    array_to_string(list_sort(array_agg(DISTINCT archive)), ',') AS archives, count(DISTINCT archive) AS n_archives, count(*) AS n_captures, min(capture_time) FILTER (indep) AS first_independent_appearance,
-    arg_min(archive, (capture_time, archive)) FILTER (indep) AS first_independent_archive, array_to_string(list_sort(array_agg(DISTINCT archive) FILTER (indep)), ',') AS independent_archives,
-    count(DISTINCT archive) FILTER (indep) AS n_independent_archives FROM capx GROUP BY url_id
+#: Pairs of time and archive order by both, which is how the engine settles ties.
+_CAP = """caps AS (
+  SELECT url_id, count(*) AS n_captures, list_sort(list_distinct(list(archive))) AS names, min({'t': capture_time, 'a': archive}) AS lo, max({'t': capture_time, 'a': archive}) AS hi,
+    list_sort(list_distinct(list(archive) FILTER (indep))) AS own_names, min({'t': capture_time, 'a': archive}) FILTER (indep) AS own FROM capx GROUP BY url_id
+),
+cap_agg AS (
+  SELECT url_id, lo.t AS first_appearance, hi.t AS last_appearance, lo.a AS first_archive, hi.a AS last_archive, array_to_string(names, ',') AS archives, len(names) AS n_archives, n_captures,
+    own.t AS first_independent_appearance, own.a AS first_independent_archive, array_to_string(own_names, ',') AS independent_archives, coalesce(len(own_names), 0) AS n_independent_archives FROM caps
 )"""
-_OBS = "obs_agg AS (SELECT url_id, count(*) AS n_observations, count(DISTINCT observer) AS n_observers FROM obs GROUP BY url_id)"
-_EV = """ev_agg AS (
-  SELECT url_id, arg_max(event_type, event_end) FILTER (event_type LIKE 'state_%') AS current_state, bool_or(event_type = 'risk_capture_gap') AS capture_gap, bool_or(event_type = 'risk_preservation_gap') AS preservation_gap,
-    bool_or(event_type = 'risk_witness_disagreement') AS witness_disagreement, bool_or(event_type = 'risk_evidential_uncertainty') AS evidential_uncertainty, bool_or(event_type = 'content_changed') AS content_changed,
-    bool_or(event_type = 'content_stable') AS content_stable, CAST(sum(evidence_count) FILTER (event_type = 'content_changed') AS BIGINT) AS n_content_changes,
-    min(event_start) FILTER (event_type = 'content_changed') AS first_content_change_at, arg_min(archive, (event_start, archive)) FILTER (event_type = 'content_changed') AS first_content_change_archive,
-    max(event_end) FILTER (event_type = 'content_changed') AS last_content_change_at, arg_max(archive, (event_end, archive)) FILTER (event_type = 'content_changed') AS last_content_change_archive
-  FROM evs GROUP BY url_id
+_OBS = "obs_agg AS (SELECT url_id, count(*) AS n_observations, len(list_distinct(list(observer))) AS n_observers FROM obs GROUP BY url_id)"
+_FLAGS = ", ".join(f"list_contains(kinds, '{k}') AS {k.removeprefix('risk_')}" for k in (*(f"risk_{r}" for r in L.RISKS), "content_changed", "content_stable"))
+_EV = f"""changes AS (
+  SELECT url_id, CAST(sum(evidence_count) AS BIGINT) AS n, min({{'t': event_start, 'a': archive}}) AS lo, max({{'t': event_end, 'a': archive}}) AS hi FROM evs WHERE archive IS NOT NULL GROUP BY url_id
+),
+ev_agg AS (
+  SELECT k.url_id, list_filter(kinds, lambda x: x[1:6] = 'state_')[1] AS current_state, {_FLAGS}, n AS n_content_changes,
+    lo.t AS first_content_change_at, lo.a AS first_content_change_archive, hi.t AS last_content_change_at, hi.a AS last_content_change_archive
+  FROM (SELECT url_id, list(event_type) AS kinds FROM evs GROUP BY url_id) k LEFT JOIN changes USING (url_id)
 )"""
 
 
@@ -399,7 +403,7 @@ def q_event_agg(spark, sf_dir):
 def _own(c: str) -> str:
     return {
         "temporal_span_days": "date_diff('day', first_appearance, last_appearance) AS temporal_span_days",
-        "current_state": "replace(current_state, 'state_', '') AS current_state",
+        "current_state": "current_state[7:] AS current_state",
         "content_survival": "CASE WHEN content_changed THEN 'changed' WHEN content_stable THEN 'stable' ELSE 'unknown' END AS content_survival",
         **{n: f"coalesce({n}, 0) AS {n}" for n in ("n_observations", "n_observers", "n_content_changes")},
         **{n: f"coalesce({n}, false) AS {n}" for n in L.RISKS},
