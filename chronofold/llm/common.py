@@ -115,6 +115,11 @@ def join_counted(rows: DataFrame, table: DataFrame, key: str, n: str, total: int
     return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(cold, key))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once; inside a lambda an expression is else computed for every element."""
+    return F.get(F.transform(F.array(value), lambda x: body(x)), F.lit(0))
+
+
 def words(text: Column) -> Column:
     """The number of ``[^\\x20\\x09-\\x0D]+`` in a text; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")

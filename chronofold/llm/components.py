@@ -2,8 +2,9 @@
 
 Every round rewires links to the smallest neighbour, first those of larger neighbours, then
 those of smaller ones, and ends when nothing moves; the rounds grow with the logarithm of the
-longest chain. Minima are aggregated before they are shuffled, links never meet in a group,
-and each round is a table in the shared folder, so that nothing is held by an executor.
+longest chain. Minima are aggregated before they are shuffled, links never meet in a group:
+those of a node with very many are joined where they are. Each round is a table in the shared
+folder, so that nothing is held by an executor.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronofold.llm.common import materialise, release
+from chronofold.llm.common import join_counted, materialise, release
 
 
 def _print(links: DataFrame) -> tuple:
@@ -24,12 +25,12 @@ def components(links: DataFrame) -> DataFrame:
     seen = _print(links)
     while seen[0]:
         both = links.union(links.select("b", "a"))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count(F.lit(1)).alias("n"))
+        large = join_counted(both.where("b > a"), least, "a", "n", 2 * seen[0]).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         large = materialise(large, "large-star")
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        least = down.groupBy("a").agg(F.min("b").alias("m"))
-        moved = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+        least = down.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+        moved = join_counted(down, least, "a", "n", down.count()).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         small = materialise(moved.union(least.select("a", F.col("m").alias("b"))).distinct(), "small-star")
         release(links)
         release(large)

@@ -2,12 +2,19 @@ r"""SimHash near-duplicates with bit-sliced comparison.
 
 A text is lower-cased (A-Z only), split into words at ASCII white space and shingled; a bit
 of its fingerprint is 1 if it is set in over half of the shingles' XXH64. A text shorter
-than a shingle is one shingle; one without words has fingerprint zero. Fingerprints link
+than a shingle is one shingle; one without words has fingerprint zero. Fingerprints of more
+than 64 bits take further words of bits from the same hash, mixed anew. Fingerprints link
 when at most ``radius`` bits differ; components of links are the groups.
 
-Distinct fingerprints only are compared, so copies cost one row. The bits are cut into
-``radius + 2`` segments: two fingerprints that link agree on two segments at least, so they
-meet in one of the buckets keyed by a pair of segments (radius 4: 15 pairs, 20 to 22 bits).
+Distinct fingerprints only are compared, so copies cost one row. They meet in buckets:
+
+* 64 bits, small radius (``groups``): the bits are cut into ``radius + 2`` segments, and two
+  fingerprints that link agree on two segments at least, so buckets keyed by each pair of
+  segments (radius 4: 15 pairs, 20 to 22 bits) miss none.
+* more bits, wide radius (``similar``): buckets are keyed by pairs of bytes. Texts of a
+  similarity s of shingles differ in a share of bits near ``acos(2s / (1 + s)) / pi``; at
+  0.8 that is 0.15, a pair of bytes agrees with 0.077, and one of 48 pairs with 0.95 or more.
+
 A bucket of more than ``chunk`` fingerprints is cut into chunks, and every pair of chunks is
 a group of its own: no task gets more than two chunks, no pair is lost.
 
@@ -38,6 +45,8 @@ WORDS = 4
 RADIUS = 4
 BITS = 64
 SEED = 42
+#: Of the wide fingerprint: bits, and the differing bits up to which texts count as similar (0.8 of 5-word shingles is near 38, with a spread of 6).
+WIDE_BITS, WIDE_RADIUS, WIDE_WORDS, WIDE_PAIRS = 256, 42, 5, 48
 #: Most fingerprints of a bucket that are compared as one group, and rows gathered before a comparison.
 CHUNK = 2048
 GATHER = 1 << 17
@@ -46,37 +55,51 @@ BROADCAST_ROWS = 100_000
 _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-def fingerprint(text: str | None, words: int = WORDS) -> int:
-    """The fingerprint as a signed 64-bit number."""
+def _mixed(h: np.ndarray, n: int) -> np.ndarray:
+    """The n-th further word of bits of a hash."""
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9) + np.uint64(n * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def fingerprint(text: str | None, words: int = WORDS, bits: int = BITS) -> bytes:
+    """The fingerprint, lowest bits first."""
     parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not parts:
-        return 0
+        return bytes(bits // 8)
     line = memoryview(b" ".join(parts))
-    if len(parts) <= words:
-        return int(np.uint64(xxhash.xxh64_intdigest(line, SEED)).astype(np.int64))
-    ends = np.cumsum([len(p) + 1 for p in parts])
-    starts = np.concatenate(([0], ends[:-1]))[: len(parts) - words + 1].tolist()
+    ends = np.cumsum([len(p) + 1 for p in parts]) - 1
+    k = min(words, len(parts))
+    starts = np.concatenate(([0], ends[:-1] + 1))[: len(parts) - k + 1].tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(line[a:b], SEED) for a, b in zip(starts, (ends[words - 1 :] - 1).tolist(), strict=True)], dtype="<u8")
-    set_in = np.zeros(BITS, np.int64)
-    for i in range(0, len(hashes), 1 << 16):
-        set_in += np.unpackbits(hashes[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(set_in * 2 > len(hashes), bitorder="little").view("<i8")[0])
+    hashes = np.array([digest(line[a:b], SEED) for a, b in zip(starts, ends[k - 1 :].tolist(), strict=True)], dtype="<u8")
+    out = []
+    for n in range(bits // 64):
+        set_in = np.zeros(64, np.int64)
+        for i in range(0, len(hashes), 1 << 16):
+            some = hashes[i : i + (1 << 16)] if n == 0 else _mixed(hashes[i : i + (1 << 16)], n)
+            set_in += np.unpackbits(some.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out.append(np.packbits(set_in * 2 > len(hashes), bitorder="little").tobytes())
+    return b"".join(out)
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
-    """(id, ``__cf_fp``) of every row."""
-    return map_texts(docs, lambda texts: {f"{OWN}fp": [fingerprint(t, words) for t in texts]}, f"{OWN}fp long", keep=(id_col,), text=text_col)
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, bits: int = BITS) -> DataFrame:
+    """(id, ``__cf_fp``) of every row: a long for 64 bits, bytes for more."""
+    if bits == BITS:
+        return map_texts(docs, lambda texts: {f"{OWN}fp": [int.from_bytes(fingerprint(t, words), "little", signed=True) for t in texts]}, f"{OWN}fp long", keep=(id_col,), text=text_col)
+    return map_texts(docs, lambda texts: {f"{OWN}fp": [fingerprint(t, words, bits) for t in texts]}, f"{OWN}fp binary", keep=(id_col,), text=text_col)
 
 
 def planes_of(codes: np.ndarray) -> np.ndarray:
-    """Codes, a whole number of blocks of 64, as planes: [bit, block], lane i of a word being the block's i-th code."""
-    bits = np.unpackbits(codes.astype("<u8").view(np.uint8).reshape(-1, 64, 8), axis=2, bitorder="little")
-    return np.ascontiguousarray(np.packbits(bits.transpose(2, 0, 1), axis=2, bitorder="little").view("<u8")[:, :, 0])
+    """Codes [code, word], a whole number of blocks of 64, as planes: [bit, block], lane i of a word being the block's i-th code."""
+    width = codes.shape[1] * 8
+    bits = np.unpackbits(codes.astype("<u8").view(np.uint8).reshape(-1, 64, width), axis=2, bitorder="little")
+    turned = np.packbits(np.ascontiguousarray(bits.transpose(2, 0, 1)), axis=2, bitorder="little")
+    return np.ascontiguousarray(turned).view("<u8")[:, :, 0].copy()
 
 
 def compare(queries: np.ndarray, blocks: np.ndarray, lanes: np.ndarray, planes: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """For pairs (query code, block): which pairs have lanes within the radius, and those lanes.
+    """For pairs (query code [pair, word], block): which pairs have lanes within the radius, and those lanes.
 
     ``lanes`` has the lanes of each block that count. Returns the positions of pairs and a word for each.
     """
@@ -85,8 +108,10 @@ def compare(queries: np.ndarray, blocks: np.ndarray, lanes: np.ndarray, planes:
     counts = [np.zeros(len(queries), np.uint64) for _ in range(width)]
     over = np.zeros(len(queries), np.uint64)
     live = lanes.copy()
-    for p in range(0, BITS, 2):
-        d = [planes[p + i][blocks] ^ (np.uint64(0) - ((queries >> np.uint64(p + i)) & np.uint64(1))) for i in (0, 1)]
+    for p in range(0, len(planes), 2):
+        if p % 64 == 0:
+            word = queries[:, p // 64]
+        d = [planes[p + i][blocks] ^ (np.uint64(0) - ((word >> np.uint64(p % 64 + i)) & np.uint64(1))) for i in (0, 1)]
         half = d[0] ^ d[1]
         carry = (d[0] & d[1]) | (counts[0] & half)  # a full adder of both planes and the lowest counter
         counts[0] ^= half
@@ -104,50 +129,47 @@ def compare(queries: np.ndarray, blocks: np.ndarray, lanes: np.ndarray, planes:
             live &= ~more
             keep = live != 0
             if not keep.all():
-                at, queries, blocks, live, over = at[keep], queries[keep], blocks[keep], live[keep], over[keep]
+                at, queries, blocks, live, over, word = at[keep], queries[keep], blocks[keep], live[keep], over[keep], word[keep]
                 counts = [c[keep] for c in counts]
                 if not len(at):
                     break
     return at, live
 
 
-def local_roots(codes: np.ndarray, sizes: np.ndarray, radius: int = RADIUS, most: int = 1 << 16) -> np.ndarray:
-    """Codes in consecutive groups of these sizes: for each, the position of the first of its component within its group."""
-    n, spread = len(codes), -(-sizes // 64)
-    first_block = np.cumsum(spread) - spread
-    first = np.cumsum(sizes) - sizes
-    group = np.repeat(np.arange(len(sizes)), sizes)
-    inside = np.arange(n) - first[group]
-    place = first_block[group] * 64 + inside
-    padded = np.zeros(int(spread.sum()) * 64, np.uint64)
-    padded[place] = codes
-    back = np.zeros(len(padded), np.int64)
-    back[place] = np.arange(n)
-    planes = planes_of(padded)
-    valid = np.full(int(spread.sum()), _ALL)
-    tail = sizes - (spread - 1) * 64
-    valid[first_block + spread - 1] = _ALL >> (np.uint64(64) - tail.astype(np.uint64))
+def _below(k: np.ndarray) -> np.ndarray:
+    """Words whose lowest k lanes, 0 to 64, are set."""
+    k = np.clip(k, 0, 64).astype(np.uint64)
+    return np.where(k == 64, _ALL, (np.uint64(1) << (k & np.uint64(63))) - np.uint64(1))
+
 
-    own = first_block[group] + inside // 64
-    ahead = (first_block + spread)[group] - own  # blocks from its own on
+def local_roots(codes: np.ndarray, sizes: np.ndarray, radius: int = RADIUS, most: int = 1 << 14) -> np.ndarray:
+    """Codes in consecutive groups of these sizes: for each, the position of the first of its component within its group.
+
+    Codes stand in blocks of 64 as they come, so small groups share blocks; a query counts
+    only the lanes after it that belong to its group.
+    """
+    codes = codes.reshape(len(codes), -1)
+    n = len(codes)
+    padded = np.zeros((-(-n // 64) * 64, codes.shape[1]), np.uint64)
+    padded[:n] = codes
+    planes = planes_of(padded)
+    end = np.repeat(np.cumsum(sizes), sizes)
+    own = np.arange(n) // 64
+    ahead = (end - 1) // 64 - own + 1  # blocks from its own on
     roots = np.arange(n)
-    start = 0
-    done = np.cumsum(ahead)
+    start, done = 0, np.cumsum(ahead)
     while start < n:
         stop = max(start + 1, int(np.searchsorted(done, (done[start - 1] if start else 0) + most, "right")))
         k = ahead[start:stop]
         who = np.repeat(np.arange(start, stop), k)
-        step = np.arange(len(who)) - np.repeat(np.cumsum(k) - k, k)
-        block = own[who] + step
-        lanes = valid[block]
-        here = (inside[who] % 64).astype(np.uint64)
-        lanes = np.where(step == 0, lanes & ~((np.uint64(2) << here) - np.uint64(1)), lanes)
+        block = own[who] + np.arange(len(who)) - np.repeat(np.cumsum(k) - k, k)
+        lanes = _below(end[who] - 64 * block) & ~_below(who + 1 - 64 * block)
         some = lanes != 0
         who, block, lanes = who[some], block[some], lanes[some]
         pair, hit = compare(codes[who], block, lanes, planes, radius)
         if len(pair):
             row, lane = np.nonzero(np.unpackbits(hit.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
-            a, b = who[pair[row]], back[block[pair[row]] * 64 + lane]
+            a, b = who[pair[row]], block[pair[row]] * 64 + lane
             while True:
                 ra, rb = roots[a], roots[b]
                 low = np.minimum(ra, rb)
@@ -162,34 +184,37 @@ def local_roots(codes: np.ndarray, sizes: np.ndarray, radius: int = RADIUS, most
 
 
 def _links(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
-    """Sorted (group columns..., code) in; (a, b) out."""
-    kept: list[np.ndarray] = []
+    """Sorted (group columns..., node, code) in; (a, b), nodes, out."""
+    kept: list[tuple[np.ndarray, np.ndarray]] = []
     held = 0
 
-    def work(rows: list[np.ndarray], last: bool):
-        t = np.concatenate(rows)
+    def work(rows: list[tuple[np.ndarray, np.ndarray]], last: bool):
+        t, codes = (np.concatenate(x) for x in zip(*rows, strict=True))
         new = np.concatenate(([True], (t[1:, :-1] != t[:-1, :-1]).any(axis=1)))
         starts = np.flatnonzero(new)
-        rest = t[len(t) :] if last else t[starts[-1] :]
-        t = t if last else t[: starts[-1]]
-        starts = starts if last else starts[:-1]
-        sizes = np.diff(np.append(starts, len(t)))
-        if len(sizes):
-            big = np.repeat(sizes > 1, sizes)
-            codes = t[big, -1].view(np.uint64)
-            roots = local_roots(codes, sizes[sizes > 1], radius) if len(codes) else np.zeros(0, np.int64)
+        stop = len(t) if last else starts[-1]
+        rest = (t[stop:], codes[stop:])
+        sizes = np.diff(np.append(starts, len(t)) if last else starts)
+        a = b = np.zeros(0, np.int64)
+        if (sizes > 1).any():
+            big = np.flatnonzero(np.repeat(sizes > 1, sizes))
+            nodes = t[big, -1]
+            roots = local_roots(codes[big], sizes[sizes > 1], radius)
             moved = np.flatnonzero(roots != np.arange(len(roots)))
-            a, b = codes[moved].view(np.int64), codes[roots[moved]].view(np.int64)
-        else:
-            a = b = np.zeros(0, np.int64)
+            a, b = nodes[moved], nodes[roots[moved]]
         return rest, pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     for batch in batches:
-        kept.append(np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]).astype(np.int64, copy=False))
+        *columns, code = batch.columns
+        if pa.types.is_binary(code.type):
+            words = np.frombuffer(b"".join(code.to_pylist()), "<u8").reshape(batch.num_rows, -1)
+        else:
+            words = code.to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, 1)
+        kept.append((np.column_stack([c.to_numpy(zero_copy_only=False) for c in columns]).astype(np.int64, copy=False), words))
         held += batch.num_rows
         if held >= GATHER:
             rest, out = work(kept, False)
-            kept, held = [rest], len(rest)
+            kept, held = [rest], len(rest[0])
             yield out
     if held:
         yield work(kept, True)[1]
@@ -203,11 +228,8 @@ def segments(radius: int) -> list[int]:
     return [(m ^ (1 << 63)) - (1 << 63) for m in (x | y for x, y in combinations(single, 2))]
 
 
-def link(codes: DataFrame, radius: int = RADIUS, chunk: int = CHUNK) -> DataFrame:
-    """Distinct ``__cf_fp`` to links (a, b) that connect exactly what is connected within the radius."""
-    fp = F.col(f"{OWN}fp")
-    masks = F.array(*(F.struct(F.lit(i).alias("c"), F.lit(m).alias("m")) for i, m in enumerate(segments(radius))))
-    keyed = codes.select(fp, F.explode(masks).alias("x")).select(F.col("x.c").alias("c"), fp.bitwiseAND(F.col("x.m")).alias("k"), fp)
+def _met(keyed: DataFrame, radius: int, chunk: int) -> DataFrame:
+    """(c, k, node, ``__cf_fp``) to links (a, b) of nodes that meet in a bucket (c, k) within the radius."""
     hot = keyed.groupBy("c", "k").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > chunk).select("c", "k", F.ceil(F.col("n") / chunk).cast("int").alias("g"))
     hot = materialise(hot, "hot-buckets")
     if hot.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
@@ -215,28 +237,66 @@ def link(codes: DataFrame, radius: int = RADIUS, chunk: int = CHUNK) -> DataFram
     own = F.pmod(F.xxhash64(f"{OWN}fp"), F.col("g")).cast("int")
     dealt = keyed.join(hot, ["c", "k"], "left").withColumn("g", F.coalesce("g", F.lit(1))).withColumn("i", own)
     dealt = dealt.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
-    dealt = dealt.select(F.col("c").cast("long"), "k", F.least("i", "j").cast("long").alias("i"), F.greatest("i", "j").cast("long").alias("j"), f"{OWN}fp")
+    dealt = dealt.select("c", "k", F.least("i", "j").cast("long").alias("i"), F.greatest("i", "j").cast("long").alias("j"), "node", f"{OWN}fp")
     dealt = dealt.repartition("c", "k", "i", "j").sortWithinPartitions("c", "k", "i", "j")
     return dealt.mapInArrow(lambda batches: _links(batches, radius), "a long, b long")
 
 
-def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, radius: int = RADIUS) -> DataFrame:
-    """(id, fingerprint, component_id) of every row; component_id is the least id reachable over links."""
-    fps = materialise(fingerprints(docs, id_col, text_col, words), "fingerprints")
-    codes = fps.groupBy(f"{OWN}fp").agg(F.min(id_col).alias("rep"), F.count(F.lit(1)).alias("n"))
-    roots = components(link(codes.select(f"{OWN}fp"), radius))
-    named = codes.join(roots, F.col(f"{OWN}fp") == F.col("node"), "left").select(f"{OWN}fp", "rep", "n", "root")
+def link(codes: DataFrame, radius: int = RADIUS, chunk: int = CHUNK) -> DataFrame:
+    """Distinct ``__cf_fp`` of 64 bits to links (a, b) that connect exactly what is connected within the radius."""
+    fp = F.col(f"{OWN}fp")
+    masks = F.array(*(F.struct(F.lit(i).cast("long").alias("c"), F.lit(m).alias("m")) for i, m in enumerate(segments(radius))))
+    keyed = codes.select(fp, F.explode(masks).alias("x")).select("x.c", fp.bitwiseAND(F.col("x.m")).alias("k"), fp.alias("node"), fp)
+    return _met(keyed, radius, chunk)
+
+
+def byte_pairs(count: int, size: int) -> list[tuple[int, int]]:
+    """Pairs of bytes, at ever larger steps, so that each byte is in as many as any other."""
+    return [(i, (i + step) % size) for step in range(1, size // 2) for i in range(size)][:count]
+
+
+def link_similar(codes: DataFrame, bits: int, radius: int, pairs: int = WIDE_PAIRS, chunk: int = CHUNK) -> DataFrame:
+    """(node, ``__cf_fp``) of more bits to links (a, b) of nodes that agree on one of the pairs of bytes and differ in ``radius`` bits at most."""
+    byte = lambda i: F.substring(f"{OWN}fp", i + 1, 1)
+    keys = F.array(*(F.struct(F.lit(t).cast("long").alias("c"), F.concat(byte(i), byte(j)).alias("k")) for t, (i, j) in enumerate(byte_pairs(pairs, bits // 8))))
+    keyed = codes.select("node", f"{OWN}fp", F.explode(keys).alias("x")).select("x.c", F.conv(F.hex("x.k"), 16, 10).cast("long").alias("k"), "node", f"{OWN}fp")
+    return _met(keyed, radius, chunk)
+
+
+def _named(fps: DataFrame, codes: DataFrame, roots: DataFrame, id_col: str) -> DataFrame:
+    """Each row with the least id of its component; ``codes`` has (``__cf_fp``, node, rep, n)."""
+    named = codes.join(roots.withColumnRenamed("node", f"{OWN}node"), F.col("node") == F.col(f"{OWN}node"), "left").select(f"{OWN}fp", "rep", "n", "root")
     # Only fingerprints of several rows, or with links, say anything that the row itself doesn't.
     linked = named.where(F.col("root").isNotNull())
     least = linked.groupBy("root").agg(F.min("rep").alias("least"))
     linked = linked.join(least, "root").select(f"{OWN}fp", F.col("least").alias("component_id"))
     copied = named.where(F.col("root").isNull() & (F.col("n") > 1)).select(f"{OWN}fp", F.col("rep").alias("component_id"))
     out = fps.join(linked.unionByName(copied), f"{OWN}fp", "left")
-    return out.select(id_col, F.lower(F.lpad(F.hex(f"{OWN}fp"), 16, "0")).alias("fingerprint"), F.coalesce("component_id", F.col(id_col)).alias("component_id"))
+    return out.select(id_col, f"{OWN}fp", F.coalesce("component_id", F.col(id_col)).alias("component_id"))
+
+
+def _codes(fps: DataFrame, id_col: str) -> DataFrame:
+    return fps.groupBy(f"{OWN}fp").agg(F.min(id_col).alias("rep"), F.count(F.lit(1)).alias("n"))
+
+
+def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, radius: int = RADIUS) -> DataFrame:
+    """(id, fingerprint, component_id) of every row, by 64 bits; component_id is the least id reachable over links."""
+    fps = materialise(fingerprints(docs, id_col, text_col, words), "fingerprints")
+    codes = _codes(fps, id_col).withColumn("node", F.col(f"{OWN}fp"))
+    out = _named(fps, codes, components(link(codes.select(f"{OWN}fp"), radius)), id_col)
+    return out.select(id_col, F.lower(F.lpad(F.hex(f"{OWN}fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WIDE_WORDS, bits: int = WIDE_BITS, radius: int = WIDE_RADIUS) -> DataFrame:
+    """(id, fingerprint, component_id) of every row, by more bits and a radius that stands for a similarity of 0.8."""
+    fps = materialise(fingerprints(docs, id_col, text_col, words, bits), "fingerprints")
+    codes = materialise(_codes(fps, id_col).withColumn("node", F.monotonically_increasing_id()), "codes")
+    out = _named(fps, codes, components(link_similar(codes.select("node", f"{OWN}fp"), bits, radius)), id_col)
+    return out.select(id_col, F.lower(F.hex(f"{OWN}fp")).alias("fingerprint"), "component_id")
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, radius: int = RADIUS) -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", find=similar) -> DataFrame:
     """The rows of ``docs`` but those whose group has a smaller id; rows without an id stay. Same columns."""
-    found = groups(docs, id_col, text_col, words, radius)
+    found = find(docs, id_col, text_col)
     gone = found.where(F.col("component_id") < F.col(id_col)).select(F.col(id_col).alias(f"{OWN}gone")).distinct()
     return docs.join(gone, F.col(id_col) == F.col(f"{OWN}gone"), "left_anti")
