@@ -16,6 +16,7 @@ from chronofold.operators import dedupe, discovery, parsers
 from chronofold.operators import evidence as E
 from chronofold.operators import lifecycle as L
 from chronofold.plans import classify as classification
+from chronofold.plans import collect as collection
 from chronofold.plans import fixtures as X
 from chronofold.plans import summary as Y
 from chronofold.sources import files, raw
@@ -216,6 +217,66 @@ def q_witness_caps(spark, sf_dir):
     return spark.createDataFrame(rows, "name string, rps double, timeout double").select("name", statuses.witness_slots(F.col("rps"), F.col("timeout")).alias("slots"))
 
 
+@query("SELECT page_id, 'http://x/' || 'web' || '/cdx?url=' || url_encode(url) AS address FROM pages")
+def q_fill_template(spark, sf_dir):
+    address = U.fill(F.lit("http://x/{collection}/cdx?url={url}"), F.col("url"), F.lit("web"))
+    return X.table(spark, sf_dir, "pages").select("page_id", address.alias("address"))
+
+
+@query(f"SELECT event_id, {_CODE} AS code, CASE WHEN {_CODE} = 404 THEN NULL WHEN {_CODE} = 429 THEN 'rate_limited' WHEN {_CODE} BETWEEN 500 AND 504 THEN 'server_error' WHEN {_CODE} >= 400 THEN 'client_error' END AS error_class FROM events")
+def q_archive_error_class(spark, sf_dir):
+    code = F.get(F.array(*map(F.lit, _CODES)), F.get_json_object("props", "$.k").cast("int") % len(_CODES))
+    return X.table(spark, sf_dir, "events").select("event_id", code.alias("code"), statuses.archive_error(code).alias("error_class"))
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 2 = 0 AND err IN ('dns_failure', 'connection_error', 'timeout') THEN 'terminal_inaccessible' ELSE 'unresolved' END AS status
+FROM (SELECT event_id, list_extract(['timeout', 'rate_limited', 'server_error', 'connection_error', 'dns_failure', 'malformed_response', 'client_error', 'not_found'], CAST(event_id % 8 + 1 AS BIGINT)) AS err FROM events)""")
+def q_failure_status(spark, sf_dir):
+    error = F.get(F.array(*map(F.lit, S.ERROR_CLASSES)), (F.col("event_id") % 8).cast("int"))
+    witness = F.when(F.col("event_id") % 2 == 0, S.LIVE).otherwise("archive:x")
+    return X.table(spark, sf_dir, "events").select("event_id", statuses.failure_status(witness, error).alias("status"))
+
+
+@query(f"""SELECT CAST(event_id AS VARCHAR) AS url_id, 'live_web' AS observer, CASE WHEN {_CODE} BETWEEN 200 AND 299 THEN 'S0_observed_alive' WHEN {_CODE} IN (403, 429) THEN 'access_restricted'
+WHEN {_CODE} IN (204,400,404,410,500,501,502,503,523) THEN 'terminal_inaccessible' WHEN {_CODE} BETWEEN 500 AND 504 THEN 'server_error' ELSE 'other_response' END AS status, {_CODE} AS http_status,
+CASE WHEN {_CODE} IN (403, 429) THEN 'client_error' WHEN {_CODE} = 504 THEN 'server_error' ELSE '' END AS error_class, 'sha256:' || sha256(props) AS content_digest, 'sha256:' || sha256(props) AS response_digest,
+CAST(length(props) AS BIGINT) AS content_length, 1.0::DOUBLE AS confidence FROM events""")
+def q_live_observations(spark, sf_dir):
+    code = F.get(F.array(*map(F.lit, _CODES)), F.get_json_object("props", "$.k").cast("int") % len(_CODES))
+    answers = X.table(spark, sf_dir, "events").select(
+        F.col("event_id").cast("string").alias("url_id"), F.lit(S.LIVE).alias("witness"), code.alias("http_status"), F.lit("").alias("redirect_target"), F.lit("text/html").alias("mime_type"),
+        F.length("props").cast("bigint").alias("content_length"), _digest(F.col("props")).alias("content_digest"), F.current_timestamp().alias("query_time"), F.current_timestamp().alias("done_time"),
+    )
+    return collection.live_observations(answers).select("url_id", "observer", "status", "http_status", "error_class", "content_digest", "response_digest", "content_length", "confidence")
+
+
+@query("SELECT url_id, original_url FROM (SELECT *, row_number() OVER (ORDER BY url_id) AS n FROM (SELECT substr(sha256(url), 1, 24) AS url_id, min(url) AS original_url FROM pages GROUP BY 1)) WHERE n <= 30 AND ('0x' || substr(url_id, 1, 8))::BIGINT % 3 = 1")
+def q_load_urls_shard(spark, sf_dir):
+    store = Store(spark, files.scratch(spark, "urls"))
+    rows = X.table(spark, sf_dir, "pages").select(U.url_id(F.col("url")).alias("url_id"), F.col("url").alias("original_url"))
+    store.append("urls", dedupe.first_wins(rows, ["url_id"], [F.col("original_url")]))
+    return store.load_urls(limit=30, shard=1, shards=3)[0]
+
+
+_MATCH = r"lower(regexp_replace(regexp_replace(netloc, ':(80|443)$', ''), '^www\d*\.', '') || path || CASE WHEN q_all = '' THEN '' ELSE '?' || q_all END)"
+
+
+@query(f"""WITH {_URL}, k AS (SELECT page_id, {_MATCH} AS m FROM c), caps AS (SELECT p.page_id AS seen, i, m FROM k p, range(3) r(i) WHERE p.page_id % 3 <> 0),
+found AS (SELECT k.page_id, make_timestamp(2000 + i, 1, 1, 0, 0, 0) AS capture_time FROM k LEFT JOIN (SELECT DISTINCT m, i FROM caps) USING (m)) SELECT page_id, capture_time FROM found""")
+def q_host_listing_join(spark, sf_dir):
+    pages = X.table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("url_id"), F.col("url").alias("original_url"), U.host_key(F.col("url")).alias("host"), F.lit("archive:x").alias("witness"))
+    # The listing has the other scheme and a www label; the match key has neither.
+    other = F.regexp_replace("original_url", "^https?://(www\\.)?", "HTTP://www.")
+    row = F.struct(
+        F.make_timestamp(F.col("y") + 2000, F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0)).alias("capture_time"), F.lower(other).alias("memento_url"), F.lit("m").alias("mime_type"), F.lit("200").alias("status"),
+        F.lit("d").alias("digest"), F.lit("").alias("warc_file"), F.lit("r").alias("record_id"), F.lit("success").alias("query_status"), F.lit(1).cast("bigint").alias("content_length"),
+    )
+    years = pages.where(F.col("url_id").cast("bigint") % 3 != 0).withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(2))))
+    listings = pages.select("witness", "host").distinct().join(years.groupBy("witness", "host").agg(F.collect_list(row).alias("captures")), ["witness", "host"], "left")
+    joined = collection.from_hosts(pages, listings, datetime(2024, 1, 1, tzinfo=timezone.utc), "full")
+    return joined.select(F.col("url_id").cast("bigint").alias("page_id"), F.col("capture_time").cast("timestamp_ntz").alias("capture_time"))
+
+
 # --- evidence ---------------------------------------------------------------
 
 
