@@ -8,14 +8,13 @@ size/weight; the first k are capped, where k is the least number for which the l
 the rest reaches stays below the next one's cap.
 
 Each document of a source expects target / source size copies, at most ``cap``. Its
-documents are put in order of size (ties by id, then by the whole row), the expectations
-are summed along that order, one offset drawn from the seed and the source is added, and a
-document is taken once for every integer its step crosses. Ordered by size, the
-documents taken stand for their neighbours, so the words come near the target. In a source
-of a few documents a long one still weighs; so the offset is drawn ``DRAWS`` times, evenly
-apart from a random start, and the source uses the draw whose words come nearest.
-
-The prefix sum is distributed. One range partitioning puts rows in (source, size, ...)
+documents are put in an order drawn by a hash of the id (ties by id, then by the whole row),
+the expectations are summed along that order, one offset drawn from the seed and the source
+is added, and a document is taken once for every integer its step crosses. In a source of few
+documents a long one weighs; so the offset is drawn ``DRAWS`` times, evenly apart from a
+random start, and the source uses the draw whose words come nearest.
+
+The prefix sum is distributed. One range partitioning puts rows in (source, hash, ...)
 order and splits a source of any size over many tasks; positions count within a
 partition, and a table with one row for each partition and source carries the sums across.
 Only that table and the table of sources are ever ordered in one place.
@@ -35,7 +34,7 @@ WEIGHTS = (5, 2, 1)
 BUDGET = 1.5
 CAP = 2
 SEED = "chronofold"
-DRAWS = 16
+DRAWS = 32
 
 
 def targets(sizes: DataFrame, source_col: str = "source", size_col: str = "source_size", budget: float = BUDGET, cap: int = CAP, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
@@ -73,11 +72,11 @@ def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
     """``docs`` with ``__cf_size``, ``__cf_source_size``, ``__cf_target`` and ``__cf_copies`` (times that the mix takes the row)."""
     spark = docs.sparkSession
     size, source = F.col(f"{OWN}size"), F.col(source_col)
-    sized = docs.withColumn(f"{OWN}size", words(F.col(text_col)) if f"{OWN}size" not in docs.columns else F.col(f"{OWN}size"))
-    rest = [F.xxhash64(*(F.col(c) for c in docs.columns))]
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), sized.rdd.getNumPartitions())
-    order = [source.asc_nulls_last(), size, F.col(id_col), *rest]
-    placed = sized.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn(f"{OWN}at", F.monotonically_increasing_id())
+    rest = F.xxhash64(*(F.col(c) for c in docs.columns))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
+    order = [source.asc_nulls_last(), F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), F.col(id_col), rest]
+    placed = docs.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn(f"{OWN}at", F.monotonically_increasing_id())
+    placed = placed if f"{OWN}size" in docs.columns else placed.withColumn(f"{OWN}size", words(F.col(text_col)))
     placed = materialise(placed, "mixing")
 
     # One row for each partition and source that meet.
@@ -117,6 +116,7 @@ def mix(docs: DataFrame, **how) -> DataFrame:
 def mix_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
     """What the mix takes of each row: id, size, source_size, target (of its source), taken (words)."""
     narrow = docs.select(F.col(id_col), F.col(source_col), words(F.col(text_col)).alias(f"{OWN}size"))
+    narrow = materialise(narrow, "sizes")  # the range partitioning looks at its input twice
     return sample(narrow, id_col, text_col, source_col, **how).select(
         id_col,
         F.col(f"{OWN}size").alias("size"),
@@ -140,7 +140,7 @@ levels AS (
 targets AS (SELECT source, source_size, coalesce(least(cap, height * w), cap) AS target FROM levels, settled),
 placed AS (
   SELECT s.*, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS step,
-    row_number() OVER (PARTITION BY s.source ORDER BY s.size, s.doc_id) AS rank, (('0x' || substr(md5('{SEED}:' || s.source), 1, 3))::BIGINT + 0.5) / 4096.0::DOUBLE AS u
+    row_number() OVER (PARTITION BY s.source ORDER BY md5(CAST(s.doc_id AS VARCHAR)), s.doc_id) AS rank, (('0x' || substr(md5('{SEED}:' || s.source), 1, 3))::BIGINT + 0.5) / 4096.0::DOUBLE AS u
   FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source
 ), tried AS (SELECT source, min(target) AS target, {_DRAWN} FROM placed GROUP BY source),
 drawn AS (SELECT source, list_min([{_NEAREST}]).k AS k FROM tried)
