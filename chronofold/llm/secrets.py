@@ -26,7 +26,7 @@ from functools import partial
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronofold.llm.common import OWN, materialise
+from chronofold.llm.common import OWN, let, materialise
 
 BASE = ("assign", "access", "hex")
 KINDS = (*BASE, "provider", "generic")
@@ -65,22 +65,22 @@ def _any(tests) -> Column:
 def matches(text: Column, kind: str) -> Column:
     """The matches of a kind that are long enough: (start, kind, end, value)."""
     pattern, group, least = PATTERNS[kind]
-    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    gaps = F.split(text, pattern, -1)
-    # The i-th match starts after i + 1 gaps and i matches.
-    sizes = F.zip_with(whole, gaps, lambda m, g: F.struct(F.length(g).alias("gap"), F.coalesce(F.length(m), F.lit(0)).alias("own")))
-    located = F.transform(
-        whole,
-        lambda m, i: F.struct(
-            F.aggregate(F.slice(sizes, 1, i + 1), -F.get(sizes, i)["own"], lambda n, s: n + s["gap"] + s["own"]).alias("start"),
-            F.lit(KINDS.index(kind)).alias("kind"),
-            F.length(m).alias("end"),
-            F.get(value, i).alias("value"),
-        ),
+    found = F.struct(
+        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("whole"), F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("value"), F.split(text, pattern, -1).alias("gaps")
     )
-    ended = F.transform(located, lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), (x["start"] + x["end"]).alias("end"), x["value"].alias("value")))
-    kept = F.filter(ended, lambda x: F.length(x["value"]) >= least)
+
+    def located(f: Column) -> Column:
+        # A match starts after the gaps and matches before it and its own gap.
+        sizes = F.zip_with(f["whole"], f["gaps"], lambda m, g: F.struct(F.length(g).alias("gap"), F.coalesce(F.length(m), F.lit(0)).alias("own")))
+        begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+        step = lambda a, s: F.struct((a["at"] + s["gap"] + s["own"]).alias("at"), F.concat(a["starts"], F.array(a["at"] + s["gap"])).alias("starts"))
+        starts = F.aggregate(sizes, begin, step, lambda a: a["starts"])
+        return let(starts, lambda starts: F.transform(f["whole"], lambda m, i: one(F.get(starts, i), m, F.get(f["value"], i))))
+
+    def one(start: Column, m: Column, value: Column) -> Column:
+        return F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("kind"), (start + F.length(m)).alias("end"), value.alias("value"))
+
+    kept = F.filter(let(found, located), lambda x: F.length(x["value"]) >= least)
     none = F.array().cast("array<struct<start:int,kind:int,end:int,value:string>>")
     return F.when(_hint(kind, text), kept).otherwise(none)
 
