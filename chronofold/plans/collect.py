@@ -212,7 +212,7 @@ def collect(store: Store, witnesses: list[Witness], transport: Transport, option
     urls = urls.withColumn("host", U.host_key(F.col("original_url")))
     counts = dict.fromkeys(("queried", "success", "retried", "permanent_failure", "skipped_circuit_open", "skipped_early_stop", "batched"), 0)
     untrusted: dict[str, int] = {}
-    single_hosts: set[tuple[str, str]] = set()
+    single_hosts = f"{store.out}/single-hosts"  # hosts to be asked URL by URL; there may be many
     idle = 0.0
 
     last_seq = store.read("checkpoints").agg(F.max("seq")).first()[0] or 0
@@ -254,8 +254,8 @@ def collect(store: Store, witnesses: list[Witness], transport: Transport, option
         # Hosts worth a listing: one row for each goes to the fetcher in place of its URLs.
         trusted = [w for w in listable if untrusted.get(w, 0) < VERIFY_HOSTS]
         per_host = ready.where(F.col("witness").isin(*trusted) & (F.col("host") != "")).groupBy("witness", "host").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= BATCH) if trusted else None
-        if per_host is not None and single_hosts:
-            per_host = per_host.join(spark.createDataFrame(sorted(single_hosts), "witness string, host string"), ["witness", "host"], "left_anti")
+        if per_host is not None and files.exists(spark, single_hosts):
+            per_host = per_host.join(spark.read.schema("witness string, host string").parquet(single_hosts), ["witness", "host"], "left_anti")
         listings = None
         if per_host is not None and not per_host.isEmpty():
             ask = per_host.select(none.alias("url_id"), "witness", "host", none.alias("original_url"))
@@ -269,7 +269,7 @@ def collect(store: Store, witnesses: list[Witness], transport: Transport, option
                     untrusted[w] = untrusted.get(w, 0) + n
             untrusted |= dict.fromkeys(verified, -1)
             good = keys.where((F.col("k") >= 2) | F.col("witness").isin(*verified)).select("witness", "host")
-            single_hosts |= {(r[0], r[1]) for r in listings.where("outcome in ('too_big', 'error')").select("witness", "host").collect()}
+            listings.where("outcome in ('too_big', 'error')").select("witness", "host").write.mode("append").parquet(single_hosts)
             listings = listings.join(good, ["witness", "host"], "left_semi")
             alone = ready.join(good, ["witness", "host"], "left_anti")
         else:

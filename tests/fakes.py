@@ -25,6 +25,7 @@ class Net:
     broken: dict = field(default_factory=dict)  # archive to error class or status
     lists_hosts: bool = True
     dead_hosts: tuple = ()
+    fails_hosts: bool = False
 
     def resolves(self, host):
         return host not in self.dead_hosts
@@ -52,6 +53,8 @@ class Net:
             d = wanted.strip("/")
             lines = [f"k {r[0]} {r[1]} {r[2]}" for r in rows if d in urlsplit(r[1]).hostname]
             return Response(200, "\n".join(lines).encode())
+        if q.get("matchType") == "host" and self.fails_hosts:
+            return Response(500)
         if "showNumPages" in q:
             return Response(200, b"no")
         if q.get("matchType") == "host":

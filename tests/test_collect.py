@@ -118,6 +118,14 @@ def test_host_listings(spark, tmp_path, lists):
     assert store.read("observations").count() == 1  # nothing known of the fourth
 
 
+def test_failed_listing_falls_back_to_urls(spark, tmp_path):
+    urls = [f"http://a.com/{i}" for i in range(3)]
+    store = store_of(spark, tmp_path, urls)
+    counts = collect.collect(store, [witness(archive())], Net(captures={"x": [row("20200101000000", u) for u in urls]}, fails_hosts=True), options())
+    assert counts["batched"] == 0 and counts["success"] == 3 and store.read("captures").count() == 3
+    assert [tuple(r) for r in spark.read.parquet(f"{store.out}/single-hosts").collect()] == [("archive:x", "a.com")]
+
+
 def test_html_answer_is_malformed(spark, tmp_path):
     class Html(Net):
         def get(self, url, timeout, limit=None):
