@@ -25,6 +25,8 @@ are separate rows. An empty table gives an empty table. Other columns travel alo
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,6 +37,8 @@ BUDGET = 1.5
 CAP = 2
 SEED = "chronofold"
 DRAWS = 32
+#: Most rows of a range partition.
+PART_ROWS = 1_000_000
 
 
 def targets(sizes: DataFrame, source_col: str = "source", size_col: str = "source_size", budget: float = BUDGET, cap: int = CAP, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
@@ -73,7 +77,7 @@ def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
     spark = docs.sparkSession
     size, source = F.col(f"{OWN}size"), F.col(source_col)
     rest = F.xxhash64(*(F.col(c) for c in docs.columns))
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), ceil(docs.count() / PART_ROWS))
     order = [source.asc_nulls_last(), F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), F.col(id_col), rest]
     placed = docs.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn(f"{OWN}at", F.monotonically_increasing_id())
     placed = placed if f"{OWN}size" in docs.columns else placed.withColumn(f"{OWN}size", words(F.col(text_col)))
