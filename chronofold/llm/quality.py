@@ -32,9 +32,9 @@ from pyspark.sql import functions as F
 from chronofold.llm.common import OWN, map_texts
 
 BUCKETS = 1 << 18
-PER_GRADE = 1200
+PER_GRADE = 3000
 GRADES = 3
-LEAST_TEXTS = 20
+LEAST_TEXTS = 30
 _LETTERS = bytes(b if chr(b).isalpha() or b >= 128 else 32 for b in range(256))
 _CAPITALS = re.compile(rb"[A-Z]+")
 _hash = xxhash.xxh32_intdigest
@@ -77,7 +77,7 @@ class Model:
         return sigmoid(self.weights[features(text)].sum(dtype=np.float64) - self.thresholds)
 
 
-def train(texts: list[str], grades: list[int], epochs: int = 12, rate: float = 1.0, decay: float = 1e-3, seed: int = 11, least_texts: int = LEAST_TEXTS, counts: dict[int, int] | None = None) -> Model:
+def train(texts: list[str], grades: list[int], epochs: int = 8, rate: float = 1.0, decay: float = 1e-3, seed: int = 11, least_texts: int = LEAST_TEXTS, counts: dict[int, int] | None = None) -> Model:
     w, past = np.zeros(BUCKETS), np.full(BUCKETS, 1e-2)
     steps = np.full(GRADES - 1, 1.0)  # the first threshold, then the logarithms of the steps to the next
     steps[0], steps[1:] = -1.0, 0.0
