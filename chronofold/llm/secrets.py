@@ -65,23 +65,25 @@ def _any(tests) -> Column:
 def matches(text: Column, kind: str) -> Column:
     """The matches of a kind that are long enough: (start, kind, end, value)."""
     pattern, group, least = PATTERNS[kind]
-    found = F.struct(
-        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("whole"), F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("value"), F.split(text, pattern, -1).alias("gaps")
-    )
+    whole, value = (F.regexp_extract_all(text, F.lit(pattern), F.lit(g)) for g in (0, group))
+    none = F.array().cast("array<struct<start:int,kind:int,end:int,value:string>>")
 
-    def located(f: Column) -> Column:
+    def located(whole: Column, rest: Column) -> Column:
         # A match starts after the gaps and matches before it and its own gap.
-        sizes = F.zip_with(f["whole"], f["gaps"], lambda m, g: F.struct(F.length(g).alias("gap"), F.coalesce(F.length(m), F.lit(0)).alias("own")))
+        sizes = F.zip_with(whole, rest["gaps"], lambda m, g: F.struct(F.length(g).alias("gap"), F.coalesce(F.length(m), F.lit(0)).alias("own")))
         begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
         step = lambda a, s: F.struct((a["at"] + s["gap"] + s["own"]).alias("at"), F.concat(a["starts"], F.array(a["at"] + s["gap"])).alias("starts"))
         starts = F.aggregate(sizes, begin, step, lambda a: a["starts"])
-        return let(starts, lambda starts: F.transform(f["whole"], lambda m, i: one(F.get(starts, i), m, F.get(f["value"], i))))
+        return let(starts, lambda starts: F.transform(whole, lambda m, i: one(F.get(starts, i), m, F.get(rest["value"], i))))
+
+    def some(whole: Column) -> Column:
+        rest = F.struct(value.alias("value"), F.split(text, pattern, -1).alias("gaps"))
+        return F.when(F.size(whole) > 0, let(rest, lambda rest: located(whole, rest))).otherwise(none)
 
     def one(start: Column, m: Column, value: Column) -> Column:
         return F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("kind"), (start + F.length(m)).alias("end"), value.alias("value"))
 
-    kept = F.filter(let(found, located), lambda x: F.length(x["value"]) >= least)
-    none = F.array().cast("array<struct<start:int,kind:int,end:int,value:string>>")
+    kept = F.filter(let(whole, some), lambda x: F.length(x["value"]) >= least)
     return F.when(_hint(kind, text), kept).otherwise(none)
 
 
