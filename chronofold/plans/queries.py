@@ -261,8 +261,9 @@ def q_load_urls_shard(spark, sf_dir):
 _MATCH = r"lower(regexp_replace(regexp_replace(netloc, ':(80|443)$', ''), '^www\d*\.', '') || path || CASE WHEN q_all = '' THEN '' ELSE '?' || q_all END)"
 
 
-@query(f"""WITH {_URL}, k AS (SELECT page_id, {_MATCH} AS m FROM c), caps AS (SELECT p.page_id AS seen, i, m FROM k p, range(3) r(i) WHERE p.page_id % 3 <> 0),
-found AS (SELECT k.page_id, make_timestamp(2000 + i, 1, 1, 0, 0, 0) AS capture_time FROM k LEFT JOIN (SELECT DISTINCT m, i FROM caps) USING (m)) SELECT page_id, capture_time FROM found""")
+@query(rf"""WITH {_URL}, k AS (SELECT page_id, url, {_MATCH} AS m FROM c),
+caps AS (SELECT DISTINCT i, m, lower(regexp_replace(url, '^https?://(www\.)?', 'http://www.')) AS memento FROM k, range(3) r(i) WHERE page_id % 3 <> 0)
+SELECT page_id, make_timestamp(2000 + i, 1, 1, 0, 0, 0) AS capture_time FROM k LEFT JOIN caps USING (m)""")
 def q_host_listing_join(spark, sf_dir):
     pages = X.table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("url_id"), F.col("url").alias("original_url"), U.host_key(F.col("url")).alias("host"), F.lit("archive:x").alias("witness"))
     # The listing has the other scheme and a www label; the match key has neither.
