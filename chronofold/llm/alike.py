@@ -1,0 +1,251 @@
+r"""Texts alike by their 5-word shingles, exactly: a set similarity join by prefixes.
+
+Words and shingles are those of ``simhash``. Two texts are linked when the sets of their
+shingles have a similarity (common by all) of ``SHARE`` = 4/5 or more; components of links
+are the groups. No link is lost and none is guessed: candidates come from a filter that
+leaves no pair out, and each is checked by the sets themselves.
+
+* All sets are put into one order. Two sets of a similarity of 4/5 have a shingle in common
+  among the first ``n - ceil(4n/5) + 1`` of each, so only these are shuffled. Any order is
+  right; here shingles that are frequent in a sample of texts come last, so that boilerplate
+  makes no candidates.
+* Sets that share such a shingle are a pair if their sizes, and what is left of both sets
+  behind the shingle, allow 4/5, and then if their sketches do: of each set the parities of
+  its shingles' numbers in ``SKETCH`` cells. Sketches differ in no more cells than the sets do in
+  shingles, so this leaves no pair out either, and only texts of what remains are joined.
+* A shingle of more than ``few`` sets first gives each set's ``NEXT`` neighbours by size only.
+  What these link is one component, and in a second round pairs within a component are left
+  out; all others are checked.
+
+Texts of the same set are one node, so copies cost one row. Sets are of XXH64, nodes are
+named by the XXH3 of their set. Texts without words are one group. A null text counts as
+empty. Null ids are kept with the component of their set.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from chronofold.llm.common import OWN, map_texts, materialise
+from chronofold.llm.components import components
+from chronofold.llm.simhash import WIDE_WORDS, codes_of, named, shingle_hashes
+
+SHARE = (4, 5)
+#: Sets of a shingle up to which all pairs are taken at once, and neighbours taken of larger ones.
+FEW, NEXT = 32, 4
+#: One of so many texts is sampled for frequent shingles; those of so many sampled texts are frequent; so many are kept.
+SAMPLED, FREQUENT, MOST_FREQUENT = 16, 8, 50_000
+GATHER = 1 << 17
+SKETCH = 1024
+
+
+def shingle_set(text: str | None, words: int = WIDE_WORDS) -> np.ndarray:
+    return np.unique(shingle_hashes(text, words))
+
+
+def alike_sets(a: np.ndarray, b: np.ndarray) -> bool:
+    """Common by all is SHARE at least."""
+    up, down = SHARE
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return common * (up + down) >= up * (len(a) + len(b))
+
+
+def sketch(s: np.ndarray) -> bytes:
+    return np.packbits(np.bincount((s % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH) & 1).tobytes()
+
+
+def prefix(s: np.ndarray, frequent: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The first shingles of a sorted set, those that are ``frequent`` (sorted) last."""
+    up, down = SHARE
+    k = len(s) - -(-len(s) * up // down) + 1 if len(s) else 0
+    if len(frequent) and len(s):
+        at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
+        rank = np.where(frequent[at] == s, counts[at], 0)
+        if rank.any():
+            s = s[np.argsort(rank, kind="stable")]
+    return s[:k]
+
+
+def frequent_shingles(docs: DataFrame, text_col: str, words: int, sampled: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles in ``least`` or more of the sampled texts, sorted, and their counts. These only order the work."""
+    some = docs.where(F.pmod(F.xxhash64(text_col), F.lit(sampled)) == 0).select(F.col(text_col).cast("string").alias("t"), F.xxhash64(text_col).alias("k")).dropDuplicates(["k"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t, words).view("<i8"))], names=["h"])
+
+    found = some.select("t").mapInArrow(run, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    rows = found.orderBy(F.desc("n"), "h").limit(MOST_FREQUENT).collect()
+    h, n = np.array([r.h for r in rows], "<i8").view("<u8"), np.array([r.n for r in rows], np.int64)
+    by = np.argsort(h)
+    return h[by], n[by]
+
+
+def sets(docs: DataFrame, id_col: str, text_col: str, words: int, frequent: np.ndarray, counts: np.ndarray) -> DataFrame:
+    """(id, text, ``__cf_fp`` for the set, n, prefix, sketch) of every row."""
+
+    def made(texts: list[str | None]) -> dict[str, list]:
+        out: dict[str, list] = {f"{OWN}fp": [], f"{OWN}n": [], f"{OWN}prefix": [], f"{OWN}sketch": []}
+        for t in texts:
+            s = shingle_set(t, words)
+            out[f"{OWN}fp"].append(int.from_bytes(xxhash.xxh3_64_digest(s.tobytes()), "little", signed=True))
+            out[f"{OWN}n"].append(len(s))
+            out[f"{OWN}prefix"].append(prefix(s, frequent, counts).tobytes())
+            out[f"{OWN}sketch"].append(sketch(s))
+        return out
+
+    rows = docs.select(id_col, F.col(text_col).cast("string").alias(f"{OWN}t"))
+    return map_texts(rows, made, f"{OWN}fp long, {OWN}n long, {OWN}prefix binary, {OWN}sketch binary", keep=(id_col, f"{OWN}t"), text=f"{OWN}t")
+
+
+def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, n, prefix) in; (h, node, n, pos) out."""
+    for b in batches:
+        parts = b.column(2).to_pylist()
+        k = np.array([len(p) // 8 for p in parts], np.int64)
+        h = np.frombuffer(b"".join(parts), "<i8")
+        pos = np.arange(len(h)) - np.repeat(np.cumsum(k) - k, k)
+        node, n = (np.repeat(b.column(i).to_numpy(zero_copy_only=False), k) for i in (0, 1))
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h, node, n, pos)], names=["h", "node", "n", "pos"])
+
+
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    """Rows sorted by their first column, as arrays [column, row] that cut none of its groups."""
+    kept: list[np.ndarray] = []
+    held, bound = 0, GATHER
+    for b in batches:
+        kept.append(np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns]))
+        held += b.num_rows
+        if held >= bound:
+            rows = np.concatenate(kept, axis=1)
+            stop = int(np.searchsorted(rows[0], rows[0, -1]))
+            if stop:
+                yield rows[:, :stop]
+            kept, held = [rows[:, stop:]], rows.shape[1] - stop
+            bound = max(GATHER, 2 * held)
+    if held:
+        yield np.concatenate(kept, axis=1)
+
+
+def _may(n1: np.ndarray, p1: np.ndarray, n2: np.ndarray, p2: np.ndarray) -> np.ndarray:
+    """Whether sets of these sizes may be alike, the shingles at these positions being the first that both have."""
+    up, down = SHARE
+    return (np.minimum(n1, n2) * down >= np.maximum(n1, n2) * up) & (np.minimum(n1 - p1, n2 - p2) * (up + down) >= up * (n1 + n2))
+
+
+def _near(batches: Iterator[pa.RecordBatch], few: int) -> Iterator[pa.RecordBatch]:
+    """Postings sorted by (h, n) in; pairs (h null, a, b) and the postings (h, a = node, b = null, n, pos) of larger groups out."""
+    for rows in _whole(batches):
+        new = np.flatnonzero(np.concatenate(([True], rows[0, 1:] != rows[0, :-1])))
+        size = np.diff(np.append(new, rows.shape[1]))
+        size = np.repeat(size, size)
+        rows, size = rows[:, size > 1], size[size > 1]
+        h, node, n, pos = rows
+        found = [np.zeros((0, 2), np.int64)]
+        for d in range(1, few):
+            i = np.flatnonzero(h[d:] == h[:-d])
+            if d > NEXT:
+                i = i[size[i] <= few]
+            if not len(i):
+                break
+            i = i[_may(n[i], pos[i], n[i + d], pos[i + d])]
+            found.append(np.column_stack((np.minimum(node[i], node[i + d]), np.maximum(node[i], node[i + d]))))
+        pairs = np.unique(np.concatenate(found), axis=0)
+        m, big = len(pairs), size > few
+        k = int(big.sum())
+        columns = [
+            pa.array(np.concatenate((np.zeros(m, np.int64), h[big])), mask=np.arange(m + k) < m),
+            pa.array(np.concatenate((pairs[:, 0], node[big]))),
+            pa.array(np.concatenate((pairs[:, 1], np.zeros(k, np.int64)))),
+            *(pa.array(np.concatenate((np.zeros(m, np.int64), x[big]))) for x in (n, pos)),
+        ]
+        yield pa.RecordBatch.from_arrays(columns, names=["h", "a", "b", "n", "pos"])
+
+
+def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Postings (h, node, n, pos, root) sorted by h in; the pairs (a, b) of different roots out."""
+    for rows in _whole(batches):
+        for part in np.split(rows, np.flatnonzero(rows[0, 1:] != rows[0, :-1]) + 1, axis=1):
+            _, node, n, pos, root = part
+            names, own, count = np.unique(root, return_inverse=True, return_counts=True)
+            if len(names) == 1:
+                continue
+            order = np.argsort(own == count.argmax(), kind="stable")  # the largest component last: its sets look for nothing
+            node, n, pos, root = (x[order] for x in (node, n, pos, root))
+            found, held = [], 0
+            for i in range(len(node) - count.max()):
+                j = i + 1 + np.flatnonzero((root[i + 1 :] != root[i]) & _may(n[i], pos[i], n[i + 1 :], pos[i + 1 :]))
+                found.append(np.column_stack((np.minimum(node[i], node[j]), np.maximum(node[i], node[j]))))
+                held += len(j)
+                if held >= GATHER or i + 1 == len(node) - count.max():
+                    pairs = np.concatenate(found)
+                    yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+                    found, held = [], 0
+
+
+def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b, n of both, sketches of both) in; the (a, b) that may be alike out."""
+    up, down = SHARE
+    for batch in batches:
+        a, b, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+        sa, sb = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "<u8").reshape(len(a), -1) for i in (3, 4))
+        apart = np.bitwise_count(sa ^ sb).sum(axis=1, dtype=np.int64)
+        good = apart * (up + down) <= n * (down - up)
+        yield pa.RecordBatch.from_arrays([pa.array(a[good]), pa.array(b[good])], names=["a", "b"])
+
+
+def _checked(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+    """(a, b, text of a, text of b) in; the (a, b) that are alike out."""
+    known: dict[int, np.ndarray] = {}
+
+    def get(node: int, text: str | None) -> np.ndarray:
+        if node not in known:
+            if len(known) >= 256:
+                known.clear()
+            known[node] = shingle_set(text, words)
+        return known[node]
+
+    for batch in batches:
+        a, b, ta, tb = (c.to_pylist() for c in batch.columns)
+        good = [i for i in range(len(a)) if alike_sets(get(a[i], ta[i]), get(b[i], tb[i]))]
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for i in good], pa.int64()) for x in (a, b)], names=["a", "b"])
+
+
+def verified(pairs: DataFrame, rows: DataFrame, words: int) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets are alike."""
+    known = rows.select(f"{OWN}fp", f"{OWN}n", f"{OWN}sketch").dropDuplicates([f"{OWN}fp"])
+    one, two = (known.select(F.col(f"{OWN}fp").alias(x), F.col(f"{OWN}n").alias(f"n{x}"), F.col(f"{OWN}sketch").alias(f"s{x}")) for x in ("a", "b"))
+    both = pairs.join(one, "a").join(two, "b").select("a", "b", F.expr("na + nb").alias("n"), "sa", "sb")
+    pairs = materialise(both.mapInArrow(_sketched, "a long, b long"), "alike-sketched")
+    nodes = pairs.select(F.col("a").alias(f"{OWN}fp")).union(pairs.select("b")).distinct()
+    texts = rows.select(f"{OWN}fp", f"{OWN}t").join(nodes, f"{OWN}fp", "left_semi").dropDuplicates([f"{OWN}fp"])
+    texts = materialise(texts, "alike-texts")
+    both = pairs.join(texts.select(F.col(f"{OWN}fp").alias("a"), F.col(f"{OWN}t").alias("ta")), "a")
+    both = both.join(texts.select(F.col(f"{OWN}fp").alias("b"), F.col(f"{OWN}t").alias("tb")), "b").select("a", "b", "ta", "tb")
+    return materialise(both.mapInArrow(lambda batches: _checked(batches, words), "a long, b long"), "alike-links")
+
+
+def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WIDE_WORDS, few: int = FEW, sampled: int = SAMPLED, least: int = FREQUENT) -> DataFrame:
+    """(id, fingerprint, component_id) of every row; fingerprint names the set, component_id is the least id reachable over links."""
+    rows = materialise(sets(docs, id_col, text_col, words, *frequent_shingles(docs, text_col, words, sampled, least)), "shingle-sets")
+    nodes = rows.select(f"{OWN}fp", f"{OWN}n", f"{OWN}prefix").dropDuplicates([f"{OWN}fp"])
+    postings = nodes.mapInArrow(_postings, "h long, node long, n long, pos long").repartition("h").sortWithinPartitions("h", "n", "node")
+    near = materialise(postings.mapInArrow(lambda batches: _near(batches, few), "h long, a long, b long, n long, pos long"), "alike-near")
+    links = verified(materialise(near.where(F.col("h").isNull()).select("a", "b").distinct(), "alike-pairs"), rows, words)
+    roots = components(links)
+    large = near.where(F.col("h").isNotNull()).select("h", F.col("a").alias("node"), "n", "pos")
+    if not large.isEmpty():
+        large = large.join(roots, "node", "left").select("h", "node", "n", "pos", F.coalesce("root", "node").alias("root"))
+        across = large.repartition("h").sortWithinPartitions("h").mapInArrow(_across, "a long, b long").distinct()
+        more = verified(materialise(across, "alike-across"), rows, words)
+        roots = components(links.union(more))
+    fps = rows.select(id_col, f"{OWN}fp")
+    out = named(fps, codes_of(fps, id_col).withColumn("node", F.col(f"{OWN}fp")), roots, id_col)
+    return out.select(id_col, F.lower(F.lpad(F.hex(f"{OWN}fp"), 16, "0")).alias("fingerprint"), "component_id")

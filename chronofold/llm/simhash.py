@@ -62,17 +62,24 @@ def _mixed(h: np.ndarray, n: int) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def fingerprint(text: str | None, words: int = WORDS, bits: int = BITS) -> bytes:
-    """The fingerprint, lowest bits first."""
+def shingle_hashes(text: str | None, words: int = WORDS) -> np.ndarray:
+    """The hashes of a text's shingles, in order; none for a text without words."""
     parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not parts:
-        return bytes(bits // 8)
+        return np.zeros(0, "<u8")
     line = memoryview(b" ".join(parts))
     ends = np.cumsum([len(p) + 1 for p in parts]) - 1
     k = min(words, len(parts))
     starts = np.concatenate(([0], ends[:-1] + 1))[: len(parts) - k + 1].tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(line[a:b], SEED) for a, b in zip(starts, ends[k - 1 :].tolist(), strict=True)], dtype="<u8")
+    return np.array([digest(line[a:b], SEED) for a, b in zip(starts, ends[k - 1 :].tolist(), strict=True)], dtype="<u8")
+
+
+def fingerprint(text: str | None, words: int = WORDS, bits: int = BITS) -> bytes:
+    """The fingerprint, lowest bits first."""
+    hashes = shingle_hashes(text, words)
+    if not len(hashes):
+        return bytes(bits // 8)
     out = []
     for n in range(bits // 64):
         set_in = np.zeros(64, np.int64)
@@ -263,35 +270,35 @@ def link_similar(codes: DataFrame, bits: int, radius: int, pairs: int = WIDE_PAI
     return _met(keyed, radius, chunk)
 
 
-def _named(fps: DataFrame, codes: DataFrame, roots: DataFrame, id_col: str) -> DataFrame:
+def named(fps: DataFrame, codes: DataFrame, roots: DataFrame, id_col: str) -> DataFrame:
     """Each row with the least id of its component; ``codes`` has (``__cf_fp``, node, rep, n)."""
-    named = codes.join(roots.withColumnRenamed("node", f"{OWN}node"), F.col("node") == F.col(f"{OWN}node"), "left").select(f"{OWN}fp", "rep", "n", "root")
+    known = codes.join(roots.withColumnRenamed("node", f"{OWN}node"), F.col("node") == F.col(f"{OWN}node"), "left").select(f"{OWN}fp", "rep", "n", "root")
     # Only fingerprints of several rows, or with links, say anything that the row itself doesn't.
-    linked = named.where(F.col("root").isNotNull())
+    linked = known.where(F.col("root").isNotNull())
     least = linked.groupBy("root").agg(F.min("rep").alias("least"))
     linked = linked.join(least, "root").select(f"{OWN}fp", F.col("least").alias("component_id"))
-    copied = named.where(F.col("root").isNull() & (F.col("n") > 1)).select(f"{OWN}fp", F.col("rep").alias("component_id"))
+    copied = known.where(F.col("root").isNull() & (F.col("n") > 1)).select(f"{OWN}fp", F.col("rep").alias("component_id"))
     out = fps.join(linked.unionByName(copied), f"{OWN}fp", "left")
     return out.select(id_col, f"{OWN}fp", F.coalesce("component_id", F.col(id_col)).alias("component_id"))
 
 
-def _codes(fps: DataFrame, id_col: str) -> DataFrame:
+def codes_of(fps: DataFrame, id_col: str) -> DataFrame:
     return fps.groupBy(f"{OWN}fp").agg(F.min(id_col).alias("rep"), F.count(F.lit(1)).alias("n"))
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, radius: int = RADIUS) -> DataFrame:
     """(id, fingerprint, component_id) of every row, by 64 bits; component_id is the least id reachable over links."""
     fps = materialise(fingerprints(docs, id_col, text_col, words), "fingerprints")
-    codes = _codes(fps, id_col).withColumn("node", F.col(f"{OWN}fp"))
-    out = _named(fps, codes, components(link(codes.select(f"{OWN}fp"), radius)), id_col)
+    codes = codes_of(fps, id_col).withColumn("node", F.col(f"{OWN}fp"))
+    out = named(fps, codes, components(link(codes.select(f"{OWN}fp"), radius)), id_col)
     return out.select(id_col, F.lower(F.lpad(F.hex(f"{OWN}fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WIDE_WORDS, bits: int = WIDE_BITS, radius: int = WIDE_RADIUS) -> DataFrame:
     """(id, fingerprint, component_id) of every row, by more bits and a radius that stands for a similarity of 0.8."""
     fps = materialise(fingerprints(docs, id_col, text_col, words, bits), "fingerprints")
-    codes = materialise(_codes(fps, id_col).withColumn("node", F.monotonically_increasing_id()), "codes")
-    out = _named(fps, codes, components(link_similar(codes.select("node", f"{OWN}fp"), bits, radius)), id_col)
+    codes = materialise(codes_of(fps, id_col).withColumn("node", F.monotonically_increasing_id()), "codes")
+    out = named(fps, codes, components(link_similar(codes.select("node", f"{OWN}fp"), bits, radius)), id_col)
     return out.select(id_col, F.lower(F.hex(f"{OWN}fp")).alias("fingerprint"), "component_id")
 
 

@@ -6,7 +6,7 @@ most. All but the last return the columns of ``documents``.
 
 1. language: documents whose language the model rejects go, as do those without a letter.
 2. lines: repeated chunks of lines and repeated long lines go, except where they occur first.
-3. near_duplicates: of each group of near-duplicates the one with the smallest id stays.
+3. near_duplicates: of each group of texts alike, by 0.8 or more of their 5-word shingles, the one with the smallest id stays.
 4. mix: documents are taken as often as their source's target asks for.
 5. pack: documents become pieces of sequences of 2048 tokens.
 """
@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronofold.llm import langid, linededup, mixing, packing, simhash
+from chronofold.llm import alike, langid, linededup, mixing, packing, simhash
 from chronofold.llm.common import documents, materialise
 
 
@@ -28,7 +28,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.dedup(docs)
+    return simhash.dedup(docs, find=alike.groups)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,0 +1,64 @@
+"""Texts alike by their shingles, against brute force over true similarities."""
+
+from __future__ import annotations
+
+import random
+from fractions import Fraction
+
+import corpus_pipeline
+import numpy as np
+import pytest
+from chronofold.llm import alike
+
+from tests.llm.test_corpus_operators import docs_of
+
+
+def brute_sets(rows):
+    out = []
+    for _, t in rows:
+        w = (t or "").encode().lower().split()
+        out.append({b" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    return out
+
+
+def brute_groups(rows):
+    """The least number reachable over pairs with a similarity of 0.8 or more."""
+    s = brute_sets(rows)
+    near = [[i for i in range(len(s)) if s[i] == s[j] or (s[i] & s[j] and Fraction(len(s[i] & s[j]), len(s[i] | s[j])) >= Fraction(4, 5))] for j in range(len(s))]
+    lab = np.array([i for i, _ in rows])
+    while True:
+        new = np.array([lab[n].min() for n in near])
+        if (new == lab).all():
+            return dict(zip((i for i, _ in rows), lab.tolist(), strict=True))
+        lab = new
+
+
+def corpus():
+    rng = random.Random(5)
+    words, rows = [f"w{i}" for i in range(3000)], [(0, None), (1, ""), (2, " one"), (3, "ONE"), (4, "spam " * 300 + "a b c d e"), (5, "spam " * 300)]
+    common = [rng.choice(words) for _ in range(40)]
+    for g in range(70):
+        base = [rng.choice(words) for _ in range(rng.choice([5, 12, 60, 200, 500]))]
+        if g % 4 == 0:
+            base[3:3] = common
+        for n in range(rng.choice([1, 2, 3, 9])):
+            copy = list(base)
+            for _ in range(rng.randint(0, max(1, len(copy) // 35)) if n else 0):  # similarities on both sides of 0.8
+                copy[rng.randrange(len(copy))] = rng.choice(words)
+            rows.append((len(rows), " ".join(copy[: len(copy) - n * len(copy) // 60])))
+    return rows
+
+
+@pytest.mark.parametrize(("few", "sampled", "least"), [(32, 16, 8), (2, 1, 2)])
+def test_alike_against_brute_force(spark, few, sampled, least):
+    rows = corpus()
+    want = brute_groups(rows)
+    assert len(set(want.values())) < len(rows) - 60
+    df = docs_of(spark, [(i, t, "s") for i, t in rows]).repartition(3)
+    assert {r.doc_id: r.component_id for r in alike.groups(df, few=few, sampled=sampled, least=least).collect()} == want
+
+
+def test_the_stage_keeps_one_of_each_group(spark):
+    rows = corpus()
+    kept = corpus_pipeline.near_duplicates(spark, docs_of(spark, [(i, t, "s") for i, t in rows]), "")
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(brute_groups(rows).values()))
