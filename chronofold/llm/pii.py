@@ -115,7 +115,7 @@ _PIECE = re.compile(rf"(?P<w>{_W})|(?P<d>[0-9]+)|(?P<dot>{_SIGN}|\.)|(?P<plus>pl
 _AT = r"(?:at|arroba|chez)"
 _DOT = _SIGN
 _O, _C = r"[ ]?[\[({<][ ]?", r"[ ]?[\])}>][ ]?"
-_MARK_HINT = re.compile(rf"[\[({{<][ ]?(?:{_AT}|{_DOT}|@|\.)[ ]?[\])}}>]|[ ]{_DOT}[ ]", re.I)
+_MARK_HINT = re.compile(rf"[\[({{<][ ]?(?:{_AT}|{_DOT}|@|\.)[ ]?[\])}}>]|[ ]{_DOT}[ ]|[ ]@|@[ ]", re.I)
 _NAME = r"[A-Za-z0-9_%+-]+"
 _LABEL = r"[A-Za-z0-9-]+"
 _ATS = rf"(?:{_O}(?:{_AT}|@){_C}|[ ]?@[ ]?)"
