@@ -105,12 +105,13 @@ def find_secrets(
     n_live counts the spans whose value at most ``max_owners`` owners and ``max_repos``
     repositories hold and that is no placeholder; n_copied counts the others. verdicts has
     ``kind:start:end:owners:repositories:live|copied`` of each span. Without ``repo_col``
-    each document stands for a repository.
+    each text stands for a repository, its copies for the same one.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    repo = F.col(repo_col) if repo_col else F.xxhash64(text)
     found = F.concat(*(matches(F.col(f"{OWN}t"), k) for k in KINDS))
     rows = docs.select(
-        F.col(id_col), F.struct(F.col(owner_col).cast("string")).alias(f"{OWN}owner"), F.struct(F.col(repo_col or id_col).cast("string")).alias(f"{OWN}repo"), text.alias(f"{OWN}t")
+        F.col(id_col), F.struct(F.col(owner_col).cast("string")).alias(f"{OWN}owner"), F.struct(repo.cast("string")).alias(f"{OWN}repo"), text.alias(f"{OWN}t")
     ).select(id_col, f"{OWN}owner", f"{OWN}repo", found.alias(f"{OWN}found"))
     rows = materialise(rows.withColumn(f"{OWN}row", F.monotonically_increasing_id()), "secrets")
 
