@@ -103,16 +103,37 @@ def map_texts(
 HOT_KEYS, HOT_ROWS = 100_000, 100
 
 
-def join_counted(rows: DataFrame, table: DataFrame, key: str, n: str, total: int) -> DataFrame:
+def join_counted(rows: DataFrame, table: DataFrame, key: str, n: str, total: int, outer: bool = False) -> DataFrame:
     """``rows`` joined with ``table``, which has each key once with the number ``n`` of its rows; ``total`` is their sum.
 
     Rows of hot keys stay where they are: there are fewer than HOT_KEYS keys with more than
     ``total / HOT_KEYS`` rows, so these go to every task. Only the others are shuffled.
+    ``outer`` keeps rows whose key the table doesn't have; no such key may be hot.
     """
     most = max(HOT_ROWS, total // HOT_KEYS)
     hot = F.broadcast(table.where(F.col(n) > most).drop(n))
     cold = table.where(F.col(n) <= most).drop(n)
-    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(cold, key))
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(cold, key, "left" if outer else "inner"))
+
+
+#: Bits of a filter, 8 MB of a broadcast whatever the number of keys; with very many keys it lets more rows through.
+FILTER_BITS = 1 << 26
+
+
+def may_be_in(rows: DataFrame, key: Column, keys: DataFrame, flag: str) -> DataFrame:
+    """``rows`` with a flag that is true wherever the long ``key`` is in the one column of ``keys``, and seldom elsewhere.
+
+    The keys become a bitmap of FILTER_BITS, made of pieces by the executors; rows stay where they are.
+    """
+    bucket, bits, at = (f"{OWN}filter_{x}" for x in ("bucket", "bits", "at"))
+    place = lambda x: F.pmod(x, F.lit(FILTER_BITS)) + 1
+    wanted = place(F.col(keys.columns[0]))
+    table = keys.where(F.col(keys.columns[0]).isNotNull()).groupBy(F.bitmap_bucket_number(wanted).alias(bucket)).agg(F.bitmap_construct_agg(F.bitmap_bit_position(wanted)).alias(bits))
+    own = rows.withColumn(bucket, F.bitmap_bucket_number(place(key))).withColumn(at, F.bitmap_bit_position(place(key)))
+    byte = F.conv(F.hex(F.substring(bits, (F.col(at) / 8).cast("int") + 1, 1)), 16, 10).cast("int")
+    hit = F.expr(f"cast({at} % 8 as int)")
+    found = own.join(F.broadcast(table), bucket, "left")
+    return found.select(*rows.columns, F.coalesce(F.getbit(byte, hit) == 1, F.lit(False)).alias(flag))
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

@@ -2,18 +2,17 @@ r"""SimHash near-duplicates with bit-sliced comparison.
 
 A text is lower-cased (A-Z only), split into words at ASCII white space and shingled; a bit
 of its fingerprint is 1 if it is set in over half of the shingles' XXH64. A text shorter
-than a shingle is one shingle; one without words has fingerprint zero. Fingerprints of more
-than 64 bits take further words of bits from the same hash, mixed anew. Fingerprints link
-when at most ``radius`` bits differ; components of links are the groups.
+than a shingle is one shingle; one without words has fingerprint zero. Fingerprints link
+when at most ``radius`` bits differ; components of links are the groups. ``similar`` uses
+the same comparison for fingerprints of more bits, which take further words of bits from the
+same hash, mixed anew.
 
 Distinct fingerprints only are compared, so copies cost one row. They meet in buckets:
-
-* 64 bits, small radius (``groups``): the bits are cut into ``radius + 2`` segments, and two
-  fingerprints that link agree on two segments at least, so buckets keyed by each pair of
-  segments (radius 4: 15 pairs, 20 to 22 bits) miss none.
-* more bits, wide radius (``similar``): buckets are keyed by pairs of bytes. Texts of a
-  similarity s of shingles differ in a share of bits near ``acos(2s / (1 + s)) / pi``; at
-  0.8 that is 0.15, a pair of bytes agrees with 0.077, and one of 48 pairs with 0.95 or more.
+the 64 bits are cut into some ``m`` segments, and two fingerprints that link agree on
+``m - radius`` segments at least, so buckets keyed by each choice of so many segments miss
+none. ``m`` grows with the number of fingerprints, so that a key has as many bits as that
+number: with radius 4, 15 tables of 21 bits up to 2 million, 35 of 27 up to 130 million, 70
+of 32 up to 4 billion, 126 of 35, 210 of 38.
 
 A bucket of more than ``chunk`` fingerprints is cut into chunks, and every pair of chunks is
 a group of its own: no task gets more than two chunks, no pair is lost.
@@ -45,17 +44,17 @@ WORDS = 4
 RADIUS = 4
 BITS = 64
 SEED = 42
-#: Of the wide fingerprint: bits, and the differing bits up to which texts count as similar (0.8 of 5-word shingles is near 38, with a spread of 6).
-WIDE_BITS, WIDE_RADIUS, WIDE_WORDS, WIDE_PAIRS = 256, 42, 5, 48
 #: Most fingerprints of a bucket that are compared as one group, and rows gathered before a comparison.
 CHUNK = 2048
 GATHER = 1 << 17
+#: Segments a code is cut into at most; with 10 and radius 4, 210 tables of 38 bits.
+MOST_SEGMENTS = 10
 #: Hot buckets that are sent to every task; with more, they are joined by a shuffle.
 BROADCAST_ROWS = 100_000
 _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-def _mixed(h: np.ndarray, n: int) -> np.ndarray:
+def mixed(h: np.ndarray, n: int) -> np.ndarray:
     """The n-th further word of bits of a hash."""
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9) + np.uint64(n * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
     h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -75,26 +74,30 @@ def shingle_hashes(text: str | None, words: int = WORDS) -> np.ndarray:
     return np.array([digest(line[a:b], SEED) for a, b in zip(starts, ends[k - 1 :].tolist(), strict=True)], dtype="<u8")
 
 
-def fingerprint(text: str | None, words: int = WORDS, bits: int = BITS) -> bytes:
-    """The fingerprint, lowest bits first."""
-    hashes = shingle_hashes(text, words)
+def set_fingerprint(hashes: np.ndarray, bits: int = BITS) -> bytes:
+    """The fingerprint of shingles' hashes, lowest bits first."""
     if not len(hashes):
         return bytes(bits // 8)
     out = []
     for n in range(bits // 64):
         set_in = np.zeros(64, np.int64)
         for i in range(0, len(hashes), 1 << 16):
-            some = hashes[i : i + (1 << 16)] if n == 0 else _mixed(hashes[i : i + (1 << 16)], n)
-            set_in += np.unpackbits(some.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+            some = hashes[i : i + (1 << 16)] if n == 0 else mixed(hashes[i : i + (1 << 16)], n)
+            ones = np.unpackbits(some.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            # Sums of 255 rows fit in a byte, so eight of them add as one word.
+            sums = np.add.reduceat(ones.view(np.uint64), np.arange(0, len(ones), 255), axis=0)
+            set_in += sums.view(np.uint8).sum(axis=0, dtype=np.int64)
         out.append(np.packbits(set_in * 2 > len(hashes), bitorder="little").tobytes())
     return b"".join(out)
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, bits: int = BITS) -> DataFrame:
-    """(id, ``__cf_fp``) of every row: a long for 64 bits, bytes for more."""
-    if bits == BITS:
-        return map_texts(docs, lambda texts: {f"{OWN}fp": [int.from_bytes(fingerprint(t, words), "little", signed=True) for t in texts]}, f"{OWN}fp long", keep=(id_col,), text=text_col)
-    return map_texts(docs, lambda texts: {f"{OWN}fp": [fingerprint(t, words, bits) for t in texts]}, f"{OWN}fp binary", keep=(id_col,), text=text_col)
+def fingerprint(text: str | None, words: int = WORDS) -> bytes:
+    return set_fingerprint(shingle_hashes(text, words))
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
+    """(id, ``__cf_fp``) of every row, as a long."""
+    return map_texts(docs, lambda texts: {f"{OWN}fp": [int.from_bytes(fingerprint(t, words), "little", signed=True) for t in texts]}, f"{OWN}fp long", keep=(id_col,), text=text_col)
 
 
 def planes_of(codes: np.ndarray) -> np.ndarray:
@@ -227,15 +230,17 @@ def _links(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.Record
         yield work(kept, True)[1]
 
 
-def segments(radius: int) -> list[int]:
-    """Masks of all pairs of the radius + 2 segments, as signed numbers."""
-    k = radius + 2
-    cuts = [round(i * BITS / k) for i in range(k + 1)]
+def segments(radius: int, n: int = 0) -> list[int]:
+    """Masks, as signed numbers, of which two codes within the radius agree on one; each of as many bits as ``n`` has, where that can be."""
+    m = radius + 2
+    while BITS * (m - radius) // m < n.bit_length() and m < MOST_SEGMENTS:
+        m += 1
+    cuts = [round(i * BITS / m) for i in range(m + 1)]
     single = [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(cuts, cuts[1:], strict=False)]
-    return [(m ^ (1 << 63)) - (1 << 63) for m in (x | y for x, y in combinations(single, 2))]
+    return [(x ^ (1 << 63)) - (1 << 63) for x in (sum(some) for some in combinations(single, m - radius))]
 
 
-def _met(keyed: DataFrame, radius: int, chunk: int) -> DataFrame:
+def met(keyed: DataFrame, radius: int, chunk: int = CHUNK) -> DataFrame:
     """(c, k, node, ``__cf_fp``) to links (a, b) of nodes that meet in a bucket (c, k) within the radius."""
     hot = keyed.groupBy("c", "k").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > chunk).select("c", "k", F.ceil(F.col("n") / chunk).cast("int").alias("g"))
     hot = materialise(hot, "hot-buckets")
@@ -252,22 +257,9 @@ def _met(keyed: DataFrame, radius: int, chunk: int) -> DataFrame:
 def link(codes: DataFrame, radius: int = RADIUS, chunk: int = CHUNK) -> DataFrame:
     """Distinct ``__cf_fp`` of 64 bits to links (a, b) that connect exactly what is connected within the radius."""
     fp = F.col(f"{OWN}fp")
-    masks = F.array(*(F.struct(F.lit(i).cast("long").alias("c"), F.lit(m).alias("m")) for i, m in enumerate(segments(radius))))
+    masks = F.array(*(F.struct(F.lit(i).cast("long").alias("c"), F.lit(m).alias("m")) for i, m in enumerate(segments(radius, codes.count()))))
     keyed = codes.select(fp, F.explode(masks).alias("x")).select("x.c", fp.bitwiseAND(F.col("x.m")).alias("k"), fp.alias("node"), fp)
-    return _met(keyed, radius, chunk)
-
-
-def byte_pairs(count: int, size: int) -> list[tuple[int, int]]:
-    """Pairs of bytes, at ever larger steps, so that each byte is in as many as any other."""
-    return [(i, (i + step) % size) for step in range(1, size // 2) for i in range(size)][:count]
-
-
-def link_similar(codes: DataFrame, bits: int, radius: int, pairs: int = WIDE_PAIRS, chunk: int = CHUNK) -> DataFrame:
-    """(node, ``__cf_fp``) of more bits to links (a, b) of nodes that agree on one of the pairs of bytes and differ in ``radius`` bits at most."""
-    byte = lambda i: F.substring(f"{OWN}fp", i + 1, 1)
-    keys = F.array(*(F.struct(F.lit(t).cast("long").alias("c"), F.concat(byte(i), byte(j)).alias("k")) for t, (i, j) in enumerate(byte_pairs(pairs, bits // 8))))
-    keyed = codes.select("node", f"{OWN}fp", F.explode(keys).alias("x")).select("x.c", F.conv(F.hex("x.k"), 16, 10).cast("long").alias("k"), "node", f"{OWN}fp")
-    return _met(keyed, radius, chunk)
+    return met(keyed, radius, chunk)
 
 
 def named(fps: DataFrame, codes: DataFrame, roots: DataFrame, id_col: str) -> DataFrame:
@@ -289,21 +281,6 @@ def codes_of(fps: DataFrame, id_col: str) -> DataFrame:
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, radius: int = RADIUS) -> DataFrame:
     """(id, fingerprint, component_id) of every row, by 64 bits; component_id is the least id reachable over links."""
     fps = materialise(fingerprints(docs, id_col, text_col, words), "fingerprints")
-    codes = codes_of(fps, id_col).withColumn("node", F.col(f"{OWN}fp"))
+    codes = materialise(codes_of(fps, id_col).withColumn("node", F.col(f"{OWN}fp")), "codes")
     out = named(fps, codes, components(link(codes.select(f"{OWN}fp"), radius)), id_col)
     return out.select(id_col, F.lower(F.lpad(F.hex(f"{OWN}fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WIDE_WORDS, bits: int = WIDE_BITS, radius: int = WIDE_RADIUS) -> DataFrame:
-    """(id, fingerprint, component_id) of every row, by more bits and a radius that stands for a similarity of 0.8."""
-    fps = materialise(fingerprints(docs, id_col, text_col, words, bits), "fingerprints")
-    codes = materialise(codes_of(fps, id_col).withColumn("node", F.monotonically_increasing_id()), "codes")
-    out = named(fps, codes, components(link_similar(codes.select("node", f"{OWN}fp"), bits, radius)), id_col)
-    return out.select(id_col, F.lower(F.hex(f"{OWN}fp")).alias("fingerprint"), "component_id")
-
-
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", find=similar) -> DataFrame:
-    """The rows of ``docs`` but those whose group has a smaller id; rows without an id stay. Same columns."""
-    found = find(docs, id_col, text_col)
-    gone = found.where(F.col("component_id") < F.col(id_col)).select(F.col(id_col).alias(f"{OWN}gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col(f"{OWN}gone"), "left_anti")

@@ -10,7 +10,8 @@ import pytest
 from chronofold.llm import langid, mixing, packing
 from chronofold.llm.common import shared_dir
 
-from tests.llm.test_corpus_operators import brute_lines, check_pieces, wide_groups
+from tests.llm.test_corpus_operators import brute_lines, check_pieces
+from tests.llm.test_similar import brute_groups
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -49,7 +50,7 @@ def test_stages(spark, corpus):
         if name == "lines":
             assert {r.doc_id: r.text for r in docs.collect()} == brute_lines(rows)
         if name == "near_duplicates":
-            assert sorted(r.doc_id for r in docs.collect()) == sorted(set(wide_groups(rows).tolist()))
+            assert sorted(r.doc_id for r in docs.collect()) == sorted(set(brute_groups(rows).values()))
         if name == "mix":
             want = {r.doc_id: r.taken // max(1, r["size"]) for r in mixing.mix_report(before).collect() if r["size"]}
             assert Counter(r.doc_id for r in docs.where("text <> ''").collect()) == {i: n for i, n in want.items() if n}
