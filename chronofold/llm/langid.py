@@ -10,21 +10,33 @@ Since the layer is linear, a trained model is one table: each bucket's embedding
 layer. A prediction is the mean of the table's rows over a text's n-grams, whole text,
 whatever its length, in blocks of bounded size.
 
-Rejection is calibrated on a part of the sample that is not trained on: a temperature is
-fitted to its likelihood, and the threshold is the score that all but ``reject_share`` of
-those texts reach. A text without a letter has language ``und``, score 0, and is rejected.
+The softmax has one output more, for what is none of the languages. It learns from texts made
+of the sample itself (``unlike``): letters shuffled within a text, random letters, letters of
+alphabets that the sample doesn't have, encoded bytes. A prediction is the likeliest language,
+its score that language's probability beside all others and that output.
+
+Rejection is calibrated on a fifth of the sample that is not trained on, cut into pieces of
+all lengths, and texts made unlike of it: a temperature is fitted to their likelihood, and the
+threshold lies between the score that at most ``accept_share`` of the unlike texts reach and the one
+that all but ``reject_share`` of the like ones reach; where the two cross, the like ones go
+first. Between them it takes a quarter of the way up from the unlike ones. A text without a
+letter has language ``und``, score 0, and is rejected. A language that the sample doesn't have but
+that looks like one of its languages isn't told apart.
 
 Only rows with text and language whose crc32(id) mod 5 is not 0 are learned from, at most
-about ``per_language`` of each language, chosen by a hash of the id. With none, every text is
-``und``. Null ids are predicted and never learned from. Repeated rows are each predicted.
+about ``per_language`` of each of the ``languages`` most frequent languages, chosen by a hash of the id,
+of each at most ``sample_chars`` characters from a place chosen by the hash; so the driver holds at most
+some 64 * 400 * 20,000 characters. With none, every text is ``und``. Null ids are predicted and
+never learned from. Repeated rows are each predicted.
 """
 
 from __future__ import annotations
 
+import base64
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronofold.llm.common import OWN, map_texts
@@ -33,7 +45,9 @@ BUCKETS = 1 << 16
 DIM = 16
 SIZES = (2, 3, 4)
 PER_LANGUAGE = 400
-REJECT_SHARE = 0.001
+LANGUAGES = 64
+SAMPLE_CHARS = 20_000
+REJECT_SHARE, ACCEPT_SHARE = 0.001, 0.01
 UND = "und"
 _BLOCK = 1 << 20
 _SPACE = bytes(b if chr(b).isalpha() or b >= 128 else 32 for b in range(256))
@@ -62,7 +76,7 @@ def ngrams(data: np.ndarray) -> list[np.ndarray]:
 @dataclass
 class Model:
     languages: list[str]
-    table: np.ndarray  # [bucket, language]
+    table: np.ndarray  # [bucket, language, and at last what is none of them]
     bias: np.ndarray
     temperature: float = 1.0
     threshold: float = 0.0
@@ -70,7 +84,7 @@ class Model:
     def logits(self, text: str) -> np.ndarray:
         """Means over the n-grams of the whole text, block by block."""
         data = np.frombuffer(normal(text), np.uint8)
-        total, count = np.zeros(len(self.languages)), 0
+        total, count = np.zeros(len(self.bias)), 0
         for a in range(0, len(data), _BLOCK):
             for h in ngrams(data[a : a + _BLOCK + max(SIZES) - 1]):
                 h = h[:_BLOCK]
@@ -88,7 +102,7 @@ class Model:
         if not self.languages or not has_letter(text):
             return UND, 0.0, False
         p = self.scores(text)
-        i = int(p.argmax())
+        i = int(p[: len(self.languages)].argmax())
         return self.languages[i], float(p[i]), bool(p[i] >= self.threshold)
 
 
@@ -110,18 +124,55 @@ def pieces(texts: list[str], languages: list[int], size: int, rng: np.random.Gen
     return out
 
 
-def train(texts: list[str], labels: list[str], epochs: int = 3, rate: float = 4.0, batch: int = 128, seed: int = 7, reject_share: float = REJECT_SHARE) -> Model:
-    """Fits on four fifths of the texts and calibrates on the rest; on all, where there are few."""
+#: First code points and sizes of alphabets: Latin, Greek, Cyrillic, Hebrew, Arabic, Devanagari, Thai, kana, Han, Hangul.
+ALPHABETS = ((0x61, 26), (0x3B1, 25), (0x430, 32), (0x5D0, 27), (0x628, 35), (0x915, 37), (0xE01, 46), (0x3042, 80), (0x4E00, 3000), (0xAC00, 3000))
+
+
+def unlike(texts: list[str], rng: np.random.Generator) -> list[str]:
+    """For each text one that is no language's: its letters shuffled, replaced by random ones, or encoded bytes.
+
+    The random ones are of an alphabet that is in none of the texts, or Latin.
+    """
+    seen = {c for t in texts for c in set(t.lower())}
+    foreign = [a for a in ALPHABETS if not any(chr(a[0] + k) in seen for k in range(a[1]))]
+    out = []
+    for t in texts:
+        letters = np.array([c.isalpha() for c in t], bool)
+        at, kind = np.flatnonzero(letters), int(rng.integers(4))
+        chars = np.array(list(t), dtype="<U1")
+        if kind == 0:
+            chars[at] = chars[at][rng.permutation(len(at))]
+        elif kind == 3:
+            data = base64.b64encode(rng.bytes(max(1, 3 * len(t) // 4))).decode()
+            step = int(rng.integers(8, 80))
+            out.append(" ".join(data[i : i + step] for i in range(0, len(data), step)))
+            continue
+        else:
+            first, size = foreign[int(rng.integers(len(foreign)))] if kind == 2 and foreign else ALPHABETS[0]
+            chars[at] = [chr(c) for c in first + rng.integers(0, size, len(at))]
+        out.append("".join(chars))
+    return out
+
+
+def train(
+    texts: list[str], labels: list[str], epochs: int = 3, rate: float = 4.0, batch: int = 128, seed: int = 7, reject_share: float = REJECT_SHARE, accept_share: float = ACCEPT_SHARE
+) -> Model:
+    """Fits on four fifths of the texts and calibrates on the rest; a single text is both."""
     languages = sorted(set(labels))
     if not languages:
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0))
+    none = len(languages)
     y = [languages.index(x) for x in labels]
     rng = np.random.default_rng(seed)
-    held = rng.permutation(len(texts))[: len(texts) // 5] if len(texts) >= 50 else np.arange(0)
-    aside = set(held.tolist())
-    examples = pieces([t for i, t in enumerate(texts) if i not in aside], [v for i, v in enumerate(y) if i not in aside], 600, rng)
+    held = rng.permutation(len(texts))[: max(1, len(texts) // 5)]
+    aside = set(held.tolist()) if len(texts) > 1 else set()
+    like = [i for i in range(len(texts)) if i not in aside]
+    made = unlike([texts[i] for i in like], rng)
+    # As many examples of none as of a language.
+    made = [made[k] for k in rng.permutation(len(made))[: max(1, len(made) // none)]]
+    examples = pieces([texts[i] for i in like] + made, [y[i] for i in like] + [none] * len(made), 600, rng)
     e = rng.normal(0, 0.1, (DIM, BUCKETS))
-    w, b = rng.normal(0, 0.1, (DIM, len(languages))), np.zeros(len(languages))
+    w, b = rng.normal(0, 0.1, (DIM, none + 1)), np.zeros(none + 1)
     steps = max(1, epochs * -(-len(examples) // batch))
     step = 0
     for _ in range(epochs):
@@ -145,9 +196,19 @@ def train(texts: list[str], labels: list[str], epochs: int = 3, rate: float = 4.
                 e[d] -= lr * 50 * np.bincount(ids, weights=spread[d], minlength=BUCKETS)
             step += 1
     model = Model(languages, (e.T @ w).astype(np.float32), b)
-    checks = held.tolist() or list(range(len(texts)))
-    z = np.array([model.logits(texts[i]) for i in checks])
-    true = np.array([y[i] for i in checks])
+
+    def cut(t: str) -> str:
+        n = int(rng.choice((40, 150, 600, len(t)))) if len(t) > 40 else len(t)
+        first = int(rng.integers(0, max(1, len(t) - n + 1)))
+        return t[first : first + n]
+
+    # Texts without a letter are no question of calibration.
+    checks = [(c, y[i]) for i in held.tolist() for c in (texts[i], cut(texts[i]), cut(texts[i])) if has_letter(c)]
+    checks += [(c, none) for t in unlike([texts[i] for i in held.tolist() for _ in range(3)], rng) if has_letter(c := cut(t))]
+    if not checks:
+        return model
+    z = np.array([model.logits(t) for t, _ in checks])
+    true = np.array([k for _, k in checks])
 
     def loss(t: float) -> float:
         s = z / t
@@ -155,9 +216,11 @@ def train(texts: list[str], labels: list[str], epochs: int = 3, rate: float = 4.
         return float((np.log(np.exp(s).sum(axis=1)) - s[np.arange(len(true)), true]).mean())
 
     model.temperature = min((0.05 * 1.25**k for k in range(24)), key=loss)
-    best = sorted(float(model.scores(texts[i]).max()) for i in checks)
-    # Never so high that it cuts into texts like those seen, never above an even chance.
-    model.threshold = min(best[int(reject_share * len(best))], 0.5)
+    p = np.exp((z - z.max(axis=1, keepdims=True)) / model.temperature)
+    best = (p / p.sum(axis=1, keepdims=True))[:, :none].max(axis=1)
+    low = float(np.quantile(best[true < none], reject_share)) if (true < none).any() else 0.0
+    high = float(np.quantile(best[true == none], 1 - accept_share)) if (true == none).any() else 0.0
+    model.threshold = low if high >= low else high + (low - high) / 4
     return model
 
 
@@ -165,15 +228,25 @@ def learnable(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> Dat
     return docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & (F.crc32(F.col(id_col).cast("string")) % 5 != 0))
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, reject_share: float = REJECT_SHARE) -> Model:
-    """Draws the sample, whole texts, and trains on the driver; the sample is about ``per_language`` texts for each language."""
+def sampled(text: Column, key: Column, most: int) -> Column:
+    """At most ``most`` characters of a text, from a place that the key chooses."""
+    spare = F.greatest(F.length(text) - F.lit(most), F.lit(0))
+    return F.substring(text, F.pmod(key, spare + 1).cast("int") + 1, F.lit(most))
+
+
+def fit(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE,
+    languages: int = LANGUAGES, sample_chars: int = SAMPLE_CHARS, reject_share: float = REJECT_SHARE,
+) -> Model:
+    """Draws the sample and trains on the driver."""
     rows = learnable(docs, id_col, text_col, lang_col)
-    counts = {r[0]: r[1] for r in rows.groupBy(lang_col).count().collect()}
-    draw = F.pmod(F.xxhash64(F.lit("langid"), F.col(id_col).cast("string")), F.lit(1 << 30))
+    counts = rows.groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()
+    key = F.xxhash64(F.lit("langid"), F.col(id_col).cast("string"))
     share = F.lit(0)
-    for lang, n in sorted(counts.items()):
-        share = F.when(F.col(lang_col) == lang, F.lit(min(1 << 30, (per_language << 30) // n))).otherwise(share)
-    sample = sorted((str(r[0]), r[1], r[2]) for r in rows.where(draw < share).select(id_col, text_col, lang_col).collect())
+    for r in sorted(counts):
+        share = F.when(F.col(lang_col) == r.lang, F.lit(min(1 << 30, (per_language << 30) // r.n))).otherwise(share)
+    drawn = rows.where(F.pmod(key, F.lit(1 << 30)) < share).select(F.col(id_col).cast("string"), sampled(F.col(text_col), key, sample_chars), lang_col)
+    sample = sorted(tuple(r) for r in drawn.collect())
     return train([t for _, t, _ in sample], [lang for _, _, lang in sample], reject_share=reject_share)
 
 
