@@ -7,14 +7,15 @@ others, until none is above. That fixed point has a closed form: order sources b
 size/weight; the first k are capped, where k is the least number for which the level that
 the rest reaches stays below the next one's cap.
 
-Each document of a source expects target / source size copies, at most ``cap``. Its
-documents are put in an order drawn by a hash of the id (ties by id, then by the whole row),
-the expectations are summed along that order, one offset drawn from the seed and the source
-is added, and a document is taken once for every integer its step crosses. In a source of few
-documents a long one weighs; so the offset is drawn ``DRAWS`` times, evenly apart from a
-random start, and the source uses the draw whose words come nearest.
-
-The prefix sum is distributed. One range partitioning puts rows in (source, hash, ...)
+Each document of a source expects target / source size copies, at most ``cap``. The
+expectations of a source's documents are summed along the order of their sizes (ties by a
+hash of the id, the id, the whole row), one offset drawn from the seed and the source is
+added, and a document is taken once for every integer its step crosses. Whatever the offset,
+each document enters with its expected number of copies over all seeds. As neighbours are of
+one size, the words taken miss the target by a few of the longest documents at most. Rows of
+the mix come by source and size; what reads them in order has to shuffle them.
+
+The prefix sum is distributed. One range partitioning puts rows in (source, size, ...)
 order and splits a source of any size over many tasks; positions count within a
 partition, and a table with one row for each partition and source carries the sums across.
 Only that table and the table of sources are ever ordered in one place.
@@ -36,7 +37,6 @@ WEIGHTS = (5, 2, 1)
 BUDGET = 1.5
 CAP = 2
 SEED = "chronofold"
-DRAWS = 32
 #: Most rows of a range partition.
 PART_ROWS = 1_000_000
 
@@ -64,23 +64,19 @@ def targets(sizes: DataFrame, source_col: str = "source", size_col: str = "sourc
 
 def offset(source: Column, seed: str = SEED) -> Column:
     """A fraction drawn from the seed and the source; a multiple of 2^-13, so that sums with whole numbers are exact."""
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(source.cast("string"), F.lit("")), F.when(source.isNull(), "\x00null").otherwise("")))
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(source.cast("string"), F.lit("")), F.when(source.isNull(), "(null)").otherwise("")))
     return (F.conv(F.substring(digest, 1, 3), 16, 10).cast("double") + 0.5) / 4096
 
 
-def _copies(step: Column, rank: Column, u: Column, cap: int) -> Column:
-    return F.least(F.floor(step * (rank + 1) + u) - F.floor(step * rank + u), F.lit(cap).cast("long"))
-
-
 def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = SEED, budget: float = BUDGET, cap: int = CAP) -> DataFrame:
     """``docs`` with ``__cf_size``, ``__cf_source_size``, ``__cf_target`` and ``__cf_copies`` (times that the mix takes the row)."""
     spark = docs.sparkSession
     size, source = F.col(f"{OWN}size"), F.col(source_col)
     rest = F.xxhash64(*(F.col(c) for c in docs.columns))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), ceil(docs.count() / PART_ROWS))
-    order = [source.asc_nulls_last(), F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), F.col(id_col), rest]
-    placed = docs.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn(f"{OWN}at", F.monotonically_increasing_id())
-    placed = placed if f"{OWN}size" in docs.columns else placed.withColumn(f"{OWN}size", words(F.col(text_col)))
+    order = [source.asc_nulls_last(), size, F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), F.col(id_col), rest]
+    sized = docs if f"{OWN}size" in docs.columns else docs.withColumn(f"{OWN}size", words(F.col(text_col)))
+    placed = sized.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn(f"{OWN}at", F.monotonically_increasing_id())
     placed = materialise(placed, "mixing")
 
     # One row for each partition and source that meet.
@@ -94,20 +90,10 @@ def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
         f"{OWN}part", f"{OWN}source", F.col(f"{OWN}before") - F.col(f"{OWN}first"), f"{OWN}source_size", f"{OWN}target"
     ).toDF(f"{OWN}part", f"{OWN}source", f"{OWN}shift", f"{OWN}source_size", f"{OWN}target")
 
-    rank = F.col(f"{OWN}at") + F.col(f"{OWN}shift")
+    rank, u = F.col(f"{OWN}at") + F.col(f"{OWN}shift"), offset(F.col(f"{OWN}source"), seed)
     step = F.when(F.col(f"{OWN}source_size") > 0, F.col(f"{OWN}target") / F.col(f"{OWN}source_size")).otherwise(F.lit(0.0))
-    draws = [(offset(F.col(f"{OWN}source"), seed) + k / DRAWS) % 1.0 for k in range(DRAWS)]
-
-    def with_pieces(rows: DataFrame, pieces: DataFrame) -> DataFrame:
-        return rows.withColumn(f"{OWN}part2", part).join(pieces, (F.col(f"{OWN}part2") == F.col(f"{OWN}part")) & source.eqNullSafe(F.col(f"{OWN}source")))
-
-    tried = with_pieces(placed.select(source_col, f"{OWN}at", f"{OWN}size"), pieces).groupBy(f"{OWN}source").agg(
-        F.min(f"{OWN}target").alias(f"{OWN}target"), *(F.sum(_copies(step, rank, u, cap) * size).alias(f"{OWN}words{k}") for k, u in enumerate(draws))
-    )
-    nearest = F.array_min(F.array(*(F.struct(F.abs(F.col(f"{OWN}words{k}") - F.col(f"{OWN}target")).alias("off"), F.lit(k), u.alias("u")) for k, u in enumerate(draws))))["u"]
-    drawn = tried.select(F.col(f"{OWN}source").alias(f"{OWN}source2"), nearest.alias(f"{OWN}u"))
-    pieces = pieces.join(drawn, F.col(f"{OWN}source").eqNullSafe(F.col(f"{OWN}source2")))
-    joined, copies = with_pieces(placed, pieces), _copies(step, rank, F.col(f"{OWN}u"), cap)
+    copies = F.least(F.floor(step * (rank + 1) + u) - F.floor(step * rank + u), F.lit(cap).cast("long"))
+    joined = placed.withColumn(f"{OWN}part2", part).join(pieces, (F.col(f"{OWN}part2") == F.col(f"{OWN}part")) & source.eqNullSafe(F.col(f"{OWN}source")))
     return joined.withColumn(f"{OWN}copies", copies).select(*docs.columns, *(c for c in (f"{OWN}size", f"{OWN}source_size", f"{OWN}target", f"{OWN}copies") if c not in docs.columns))
 
 
@@ -130,9 +116,6 @@ def mix_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
-_DRAWN = ", ".join(f"sum((floor(step * rank + (u + {k} / {DRAWS}.0) % 1.0) - floor(step * (rank - 1) + (u + {k} / {DRAWS}.0) % 1.0)) * size) AS w{k}" for k in range(DRAWS))
-_NEAREST = ", ".join(f"{{'off': abs(w{k} - target), 'k': {k}}}" for k in range(DRAWS))
-
 SQL = rf"""
 WITH sized AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
 sources AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, 2.0::DOUBLE * sum(size) AS cap FROM sized GROUP BY source),
@@ -144,11 +127,9 @@ levels AS (
 targets AS (SELECT source, source_size, coalesce(least(cap, height * w), cap) AS target FROM levels, settled),
 placed AS (
   SELECT s.*, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS step,
-    row_number() OVER (PARTITION BY s.source ORDER BY md5(CAST(s.doc_id AS VARCHAR)), s.doc_id) AS rank, (('0x' || substr(md5('{SEED}:' || s.source), 1, 3))::BIGINT + 0.5) / 4096.0::DOUBLE AS u
+    row_number() OVER (PARTITION BY s.source ORDER BY s.size, md5(coalesce(CAST(s.doc_id AS VARCHAR), '')), s.doc_id NULLS FIRST) AS rank,
+    (('0x' || substr(md5('{SEED}:' || coalesce(s.source, '') || CASE WHEN s.source IS NULL THEN '(null)' ELSE '' END), 1, 3))::BIGINT + 0.5) / 4096.0::DOUBLE AS u
   FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source
-), tried AS (SELECT source, min(target) AS target, {_DRAWN} FROM placed GROUP BY source),
-drawn AS (SELECT source, list_min([{_NEAREST}]).k AS k FROM tried)
-SELECT doc_id, size, source_size, target,
-  CAST((floor(step * rank + (u + k / {DRAWS}.0) % 1.0) - floor(step * (rank - 1) + (u + k / {DRAWS}.0) % 1.0)) * size AS BIGINT) AS taken
-FROM placed p JOIN drawn d ON p.source IS NOT DISTINCT FROM d.source
+)
+SELECT doc_id, size, source_size, target, CAST(least(floor(step * rank + u) - floor(step * (rank - 1) + u), {CAP}) * size AS BIGINT) AS taken FROM placed
 """
