@@ -36,10 +36,10 @@ import base64
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronofold.llm.common import OWN, map_texts
+from chronofold.llm.common import OWN, map_texts, sampled
 
 BUCKETS = 1 << 16
 DIM = 16
@@ -228,12 +228,6 @@ def learnable(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> Dat
     return docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & (F.crc32(F.col(id_col).cast("string")) % 5 != 0))
 
 
-def sampled(text: Column, key: Column, most: int) -> Column:
-    """At most ``most`` characters of a text, from a place that the key chooses."""
-    spare = F.greatest(F.length(text) - F.lit(most), F.lit(0))
-    return F.substring(text, F.pmod(key, spare + 1).cast("int") + 1, F.lit(most))
-
-
 def fit(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE,
     languages: int = LANGUAGES, sample_chars: int = SAMPLE_CHARS, reject_share: float = REJECT_SHARE,

@@ -11,8 +11,12 @@ characters that are no letters, of repeated words and lines). Presence counts, n
 frequency, so one word can weigh in a long text.
 
 Weights and thresholds are learned together by AdaGrad in numpy from at most about
-``per_grade`` rated texts of each grade, chosen by a hash of the id; thresholds keep their
-order as the first plus positive steps. Every text is scored whole.
+``per_grade`` rated texts of each grade, chosen by a hash of the id, of each at most
+``sample_chars`` characters from a place chosen by the hash: so the driver holds at most some
+3 * 3,000 * 8,000 characters. Rows whose crc32(id) mod 5 is 0 are held out, never learned
+from. A feature that fewer than ``least_texts`` of the texts have, or fewer than one in fifty
+where these are few, is left out. Thresholds keep their order as the first plus positive
+steps. Every text is scored whole.
 
 A null text counts as empty. Ratings that are null, or of ids without a text, are not
 learned from; of several ratings of an id each counts. Without ratings every score is 0.
@@ -29,10 +33,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronofold.llm.common import OWN, map_texts
+from chronofold.llm.common import OWN, map_texts, sampled
 
 BUCKETS = 1 << 18
 PER_GRADE = 3000
+SAMPLE_CHARS = 8000
 GRADES = 3
 LEAST_TEXTS = 30
 _LETTERS = bytes(b if chr(b).isalpha() or b >= 128 else 32 for b in range(256))
@@ -116,22 +121,27 @@ def train(texts: list[str], grades: list[int], epochs: int = 8, rate: float = 1.
     return Model(w.astype(np.float32), np.cumsum(np.concatenate((steps[:1], np.exp(steps[1:])))))
 
 
-def fit(docs: DataFrame, ratings: DataFrame, grade: Column, id_col: str = "doc_id", text_col: str = "text", per_grade: int = PER_GRADE) -> Model:
+def held_out(id_col: str) -> Column:
+    return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 5 == 0, F.lit(False))
+
+
+def fit(docs: DataFrame, ratings: DataFrame, grade: Column, id_col: str = "doc_id", text_col: str = "text", per_grade: int = PER_GRADE, sample_chars: int = SAMPLE_CHARS) -> Model:
     """Draws the sample and trains on the driver. ``ratings`` has the id; ``grade`` is an expression over it, 0 to 2."""
-    rated = ratings.select(F.col(id_col).alias(f"{OWN}id"), grade.cast("int").alias(f"{OWN}grade")).where(F.col(f"{OWN}grade").between(0, GRADES - 1) & F.col(f"{OWN}id").isNotNull())
+    rated = ratings.select(F.col(id_col).alias(f"{OWN}id"), grade.cast("int").alias(f"{OWN}grade")).where(F.col(f"{OWN}grade").between(0, GRADES - 1) & F.col(f"{OWN}id").isNotNull() & ~held_out(f"{OWN}id"))
     counts = {r[0]: r[1] for r in rated.groupBy(f"{OWN}grade").count().collect()}
-    draw, share = F.pmod(F.xxhash64(F.lit("quality"), F.col(f"{OWN}id").cast("string")), F.lit(1 << 30)), F.lit(0)
+    key = F.xxhash64(F.lit("quality"), F.col(f"{OWN}id").cast("string"))
+    draw, share = F.pmod(key, F.lit(1 << 30)), F.lit(0)
     for g, n in sorted(counts.items()):
         share = F.when(F.col(f"{OWN}grade") == g, F.lit(min(1 << 30, (per_grade << 30) // n))).otherwise(share)
     # At most about GRADES * per_grade rows of two numbers, so they go to every task.
     drawn = F.broadcast(rated.where(draw < share))
-    rows = docs.where(F.col(text_col).isNotNull()).join(drawn, F.col(id_col) == F.col(f"{OWN}id")).select(f"{OWN}id", F.col(text_col), f"{OWN}grade").collect()
+    rows = docs.where(F.col(text_col).isNotNull()).join(drawn, F.col(id_col) == F.col(f"{OWN}id")).select(f"{OWN}id", sampled(F.col(text_col), key, sample_chars), f"{OWN}grade").collect()
     rows = sorted((str(r[0]), r[1], r[2]) for r in rows)
     return train([t for _, t, _ in rows], [g for _, _, g in rows], counts=counts)
 
 
 def rate(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", select_from: int = 2, least: float = 0.5) -> DataFrame:
-    """(id, expected_grade, p_ge1, p_ge2, selected) of every row."""
+    """(id, held_out, expected_grade, p_ge1, p_ge2, selected) of every row."""
 
     def columns(texts: list[str | None]) -> dict[str, list]:
         t = [model.tails(x) for x in texts]
@@ -142,7 +152,8 @@ def rate(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         }
 
     tails = ", ".join(f"p_ge{k + 1} double" for k in range(GRADES - 1))
-    return map_texts(docs, columns, f"expected_grade double, {tails}, selected boolean", keep=(id_col,), text=text_col)
+    rated = map_texts(docs, columns, f"expected_grade double, {tails}, selected boolean", keep=(id_col,), text=text_col)
+    return rated.select(id_col, held_out(id_col).alias("held_out"), *rated.columns[1:])
 
 
 def grade_of(quality: str = "quality", toxic: str = "toxic") -> Column:

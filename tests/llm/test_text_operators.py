@@ -13,6 +13,7 @@ import pytest
 from chronofold.llm import langid, ogg, pii, quality, secrets
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -254,6 +255,22 @@ def test_grades_of_held_out_texts():
     assert m.tails(None).shape == (2,) and (np.diff(m.tails("x " * 100_000)) <= 0).all()
 
 
+def test_gradients_are_those_of_the_likelihood():
+    """One text, one step: the weights move against the numerical gradient of the cumulative-link loss."""
+    for g in range(3):
+        m = quality.train(["alpha beta gamma"], [g], epochs=1, decay=0.0, least_texts=0)
+        x = quality.features("alpha beta gamma")
+
+        def loss(score, g=g):
+            up = [1.0, *quality.sigmoid(score - np.array([-1.0, 0.0])), 0.0]
+            return -np.log(up[g] - up[g + 1])
+
+        slope = (loss(1e-5) - loss(-1e-5)) / 2e-5
+        assert (np.sign(m.weights[x]) == -np.sign(slope)).all()
+        want = -slope / np.sqrt(1e-2 + slope**2) / np.sqrt(len(x))
+        assert np.allclose(m.weights[x], want, rtol=1e-3)
+
+
 def test_quality_rows(spark):
     rng = random.Random(2)
     texts = [graded(rng, i % 3) for i in range(300)] + [None, ""]
@@ -262,6 +279,9 @@ def test_quality_rows(spark):
     m = quality.fit(df, ratings, quality.grade_of())
     rows = {r.doc_id: r for r in quality.rate(df, m).collect()}
     assert len(rows) == 302 and np.mean([rows[i].selected == (i % 3 == 2) for i in range(250, 300)]) > 0.9
+    assert {i for i, r in rows.items() if r.held_out} == {i for i in rows if zlib.crc32(str(i).encode()) % 5 == 0}
+    lied = ratings.withColumn("toxic", F.when(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(1)).otherwise(F.col("toxic")))
+    assert (quality.fit(df, lied, quality.grade_of()).weights == m.weights).all()
     assert all(0 <= r.p_ge2 <= r.p_ge1 <= 1 and r.expected_grade == pytest.approx(r.p_ge1 + r.p_ge2) for r in rows.values())
     empty = quality.fit(df, ratings.where("false"), quality.grade_of())
     assert quality.rate(df, empty).count() == 302 and quality.rate(df.where("false"), m).count() == 0
