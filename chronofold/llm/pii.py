@@ -18,6 +18,10 @@ The base detectors then run over the rewritten text, and a match that contains a
 rewritten is mapped back to the source range it covers. A bare word "at" counts only
 before a host whose dots are disguised too, as prose is full of "at".
 
+Work is in proportion to the text: a rewriting is kept as runs of copied and replaced
+characters, as many as there are edits, and disguises are looked for from the end of each
+dotted name, which no other name shares.
+
 Nulls count as empty texts; an empty text has no spans. Rows that repeat are treated each
 on its own. Columns other than the id and the text are not read.
 """
@@ -26,7 +30,8 @@ from __future__ import annotations
 
 import hashlib
 import re
-from itertools import accumulate
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 
@@ -121,35 +126,68 @@ _LABEL = r"[A-Za-z0-9-]+"
 _ATS = rf"(?:{_O}(?:{_AT}|@){_C}|[ ]?@[ ]?)"
 _DOTS = rf"(?:{_O}(?:{_DOT}|\.){_C}|[ ]{_DOT}[ ]|\.)"
 _LOUD_DOTS = rf"(?:{_O}(?:{_DOT}|\.){_C}|[ ]{_DOT}[ ])"
-_MARKED = re.compile(
-    rf"(?<![A-Za-z0-9._%+-]){_NAME}(?:{_DOTS}{_NAME})*"
-    rf"(?:{_ATS}{_LABEL}(?:{_DOTS}{_LABEL})*{_DOTS}[A-Za-z]{{2,}}|[ ]{_AT}[ ]{_LABEL}(?:{_LOUD_DOTS}{_LABEL})*{_LOUD_DOTS}[A-Za-z]{{2,}})(?![A-Za-z0-9])",
-    re.I,
-)
+#: A dotted name, as long as it gets; the sign after it; what has to follow a sign that is marked, and one that is a bare word.
+_RUN = re.compile(rf"{_NAME}(?:{_DOTS}{_NAME})*", re.I)
+_SIGN_AT = re.compile(_ATS, re.I)
+_BARE_AT = re.compile(rf"[ ]{_AT}[ ]", re.I)
+_AFTER_SIGN = re.compile(rf"{_LABEL}(?:{_DOTS}{_LABEL})*{_DOTS}[A-Za-z]{{2,}}(?![A-Za-z0-9])", re.I)
+_AFTER_BARE = re.compile(rf"{_LABEL}(?:{_LOUD_DOTS}{_LABEL})*{_LOUD_DOTS}[A-Za-z]{{2,}}(?![A-Za-z0-9])", re.I)
 _MARK = re.compile(rf"(?P<at>{_O}(?:{_AT}|@){_C}|[ ]{_AT}[ ]|[ ]?@[ ]?)|(?P<dot>{_LOUD_DOTS})", re.I)
 
 
-class Tape:
-    """A text with, for every character, the source range it stands for; ``new`` marks what was rewritten."""
+def marked(text: str) -> Iterator[tuple[int, int]]:
+    """The places of addresses, disguised or not; each name starts or ends one at most."""
+    done = 0
+    for run in _RUN.finditer(text):
+        if run.start() >= done and (run.start() == 0 or text[run.start() - 1] not in _LOCAL):
+            for sign, after in ((_SIGN_AT, _AFTER_SIGN), (_BARE_AT, _AFTER_BARE)):
+                if (at := sign.match(text, run.end())) and (m := after.match(text, at.end())):
+                    done = m.end()
+                    yield run.start(), done
+                    break
+
 
-    def __init__(self, text: str):
-        self.text, self.first, self.last, self.new = text, range(len(text)), range(1, len(text) + 1), bytes(len(text))
+class Tape:
+    """A text and the source ranges its characters stand for, as runs.
+
+    A run (first character of the text, source start, source end) is copied, character by
+    character, or put in place of its whole source range. Characters that were deleted have no run.
+    """
+
+    def __init__(self, text: str, at: list[int] | None = None, runs: list[tuple[int, int, bool]] | None = None):
+        self.text = text
+        self.at = [0] if at is None else at
+        self.runs = [(0, len(text), False)] if runs is None else runs
+
+    def source(self, a: int, b: int) -> tuple[int, int, bool]:
+        """Where characters a to b come from, and whether anything in between was rewritten."""
+        i, j = bisect_right(self.at, a) - 1, bisect_left(self.at, b) - 1
+        first, stop, new = self.runs[i]
+        start = first if new else first + a - self.at[i]
+        first, stop, last = self.runs[j]
+        end = stop if last else first + b - self.at[j]
+        return start, end, i != j or new
 
     def rewrite(self, edits: list[tuple[int, int, str]]) -> Tape:
         """Edits (start, end, replacement) in order; a replacement's characters share the whole range."""
-        out, parts, first, last, new, at = Tape(""), [], [], [], bytearray(), 0
+        parts, at, runs, n, done = [], [], [], 0, 0
         for a, b, put in [*edits, (len(self.text), len(self.text), "")]:
-            parts += [self.text[at:a], put]
-            first += self.first[at:a]
-            last += self.last[at:a]
-            new += self.new[at:a]
+            i = bisect_right(self.at, done) - 1
+            while done < a:
+                stop = min(a, self.at[i + 1] if i + 1 < len(self.at) else len(self.text))
+                first, last, new = self.runs[i]
+                at.append(n)
+                runs.append((first, last, True) if new else (first + done - self.at[i], first + stop - self.at[i], False))
+                parts.append(self.text[done:stop])
+                n += stop - done
+                done, i = stop, i + 1
             if put:
-                first += [self.first[a]] * len(put)
-                last += [self.last[b - 1]] * len(put)
-                new += b"\1" * len(put)
-            at = b
-        out.text, out.first, out.last, out.new = "".join(parts), first, last, bytes(new)
-        return out
+                at.append(n)
+                runs.append((*self.source(a, b)[:2], True))
+                parts.append(put)
+                n += len(put)
+            done = b
+        return Tape("".join(parts), at, runs)
 
 
 def fold(tape: Tape) -> Tape:
@@ -172,8 +210,8 @@ def speak(tape: Tape) -> Tape:
 
 def join(tape: Tape) -> Tape:
     edits = []
-    for m in _MARKED.finditer(tape.text):
-        edits += [(m.start() + p.start(), m.start() + p.end(), "@" if p.lastgroup == "at" else ".") for p in _MARK.finditer(m[0])]
+    for a, b in marked(tape.text):
+        edits += [(p.start(), p.end(), "@" if p.lastgroup == "at" else ".") for p in _MARK.finditer(tape.text, a, b)]
     return tape.rewrite(edits) if edits else tape
 
 
@@ -182,21 +220,19 @@ def disguised(text: str) -> list[Span]:
     folded = not text.isascii() and _FOLDED.search(text)
     tape = fold(Tape(text)) if folded else None
     plain = tape.text if tape else text
-    said, marked = _SPOKEN_HINT.search(plain), _MARK_HINT.search(plain)
-    if not (folded or said or marked):
+    said, hinted = _SPOKEN_HINT.search(plain), _MARK_HINT.search(plain)
+    if not (folded or said or hinted):
         return []
     tape = tape or Tape(text)
     tape = speak(tape) if said else tape
-    tape = join(tape) if marked else tape
-    if not any(tape.new) and len(tape.text) == len(text):
-        return []
-    # What is deleted within a match counts as rewritten as well.
-    new = [0, *accumulate(tape.new)]
-    return [
-        (tape.first[a], kind, tape.last[b - 1])
-        for a, kind, b in detect(tape.text)
-        if new[b] > new[a] or tape.last[b - 1] - tape.first[a] != b - a
-    ]
+    tape = join(tape) if hinted else tape
+    found = []
+    if len(tape.runs) > 1 or len(tape.text) != len(text):
+        for a, kind, b in detect(tape.text):
+            start, end, new = tape.source(a, b)
+            if new:  # a match of copied characters only is a base span, unless something in it was deleted
+                found.append((start, kind, end))
+    return found
 
 
 def spans(text: str | None) -> tuple[list[Span], list[Span]]:
@@ -210,7 +246,7 @@ def _said(found: list[Span]) -> str:
 
 
 def _columns(texts: list[str | None]) -> dict[str, list]:
-    out: dict[str, list] = {c: [] for c in (*(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added")}
+    out: dict[str, list] = {c: [] for c in (*(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added", "n_total")}
     for t in texts:
         base, added = spans(t)
         kinds = [k for _, k, _ in base]
@@ -219,12 +255,13 @@ def _columns(texts: list[str | None]) -> dict[str, list]:
         out["base_sha256"].append(hashlib.sha256(_said(base).encode()).hexdigest())
         out["spans"].append(_said(sorted(base + added)))
         out["n_added"].append(len(added))
+        out["n_total"].append(len(base) + len(added))
     return out
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row: the id, base counts by kind, the digest of the base spans, all spans, the number added."""
-    schema = ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string, n_added long"
+    """One row for each row: the id, base counts by kind, the digest of the base spans, all spans, the numbers added and in all."""
+    schema = ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string, n_added long, n_total long"
     return map_texts(docs, _columns, schema, keep=(id_col,), text=text_col)
 
 
