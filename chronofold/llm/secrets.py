@@ -12,8 +12,12 @@ sign alone, so it counts only if its value is owner-specific.
 
 DataFrame functions only. One pass over the texts writes the candidates of each row, a
 narrow table; distinct (hash, owner) and (hash, repository) pairs are aggregated before
-they are shuffled, so a value that fills a third of the rows costs a row for each task. The
-join back is on the hash; no group is ever gathered except the candidates of one row.
+they are shuffled, so a value that fills a third of the rows costs a row for each task, and
+finds of such a value are judged where they are (``join_counted``). No group is ever gathered
+except the candidates of one row, and work on these is in proportion to them.
+
+An owner is a value of ``owner_col``. A repository is a value of ``repo_col``; without one,
+each distinct text is a repository, so copies of a text count once.
 
 A null text counts as empty, a null owner or repository as one owner or repository of its
 own; rows that repeat are each given their result. Columns beyond those named are not read.
@@ -23,10 +27,10 @@ from __future__ import annotations
 
 from functools import partial
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronofold.llm.common import OWN, let, materialise
+from chronofold.llm.common import OWN, join_counted, let, materialise
 
 BASE = ("assign", "access", "hex")
 KINDS = (*BASE, "provider", "generic")
@@ -62,6 +66,35 @@ def _any(tests) -> Column:
     return out
 
 
+#: Elements whose running sums are made at once; a sum that grows an array copies it, so arrays are kept as short as this.
+RUN = 256
+
+
+def _running(sizes: Column, first: Column) -> Column:
+    """Where each of a few (gap, own) starts, from ``first`` on."""
+    begin = F.struct(first.alias("at"), F.array().cast("array<int>").alias("starts"))
+    step = lambda a, s: F.struct((a["at"] + s["gap"] + s["own"]).alias("at"), F.concat(a["starts"], F.array(a["at"] + s["gap"])).alias("starts"))
+    return F.aggregate(sizes, begin, step, lambda a: a["starts"])
+
+
+def _starts(sizes: Column) -> Column:
+    """Where each of many (gap, own) starts: runs of runs, each summed by itself from the sum before it."""
+
+    def cut(items: Column, size: int) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.greatest(F.floor((F.size(items) - 1) / size), F.lit(0)).cast("int")), lambda i: F.slice(items, i * size + 1, F.lit(size)))
+
+    def total(run: Column) -> Column:
+        return F.struct(F.lit(0).alias("gap"), F.aggregate(run, F.lit(0), lambda a, s: a + s["gap"] + s["own"]).alias("own"))
+
+    def level(items: Column, first: Column, depth: int) -> Column:
+        if not depth:
+            return _running(items, first)
+        body = lambda runs: let(level(F.transform(runs, total), first, depth - 1), lambda begins: F.flatten(F.zip_with(runs, begins, _running)))
+        return let(cut(items, RUN), body)
+
+    return level(sizes, F.lit(0), 2)
+
+
 def matches(text: Column, kind: str) -> Column:
     """The matches of a kind that are long enough: (start, kind, end, value)."""
     pattern, group, least = PATTERNS[kind]
@@ -71,10 +104,7 @@ def matches(text: Column, kind: str) -> Column:
     def located(whole: Column, rest: Column) -> Column:
         # A match starts after the gaps and matches before it and its own gap.
         sizes = F.zip_with(whole, rest["gaps"], lambda m, g: F.struct(F.length(g).alias("gap"), F.coalesce(F.length(m), F.lit(0)).alias("own")))
-        begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
-        step = lambda a, s: F.struct((a["at"] + s["gap"] + s["own"]).alias("at"), F.concat(a["starts"], F.array(a["at"] + s["gap"])).alias("starts"))
-        starts = F.aggregate(sizes, begin, step, lambda a: a["starts"])
-        return let(starts, lambda starts: F.transform(whole, lambda m, i: one(F.get(starts, i), m, F.get(rest["value"], i))))
+        return let(sizes, lambda sizes: let(_starts(sizes), lambda starts: F.transform(whole, lambda m, i: one(F.get(starts, i), m, F.get(rest["value"], i)))))
 
     def some(whole: Column) -> Column:
         rest = F.struct(value.alias("value"), F.split(text, pattern, -1).alias("gaps"))
@@ -120,18 +150,20 @@ def find_secrets(
         f"{OWN}row", f"{OWN}owner", f"{OWN}repo", "x.start", "x.kind", "x.end", F.sha2("x.value", 256).alias("hash"), _placeholder(F.col("x.value")).alias("dull")
     )
     count = lambda c, n: each.select("hash", c).distinct().groupBy("hash").agg(F.count(F.lit(1)).alias(n))
-    owned = count(f"{OWN}owner", "owners").join(count(f"{OWN}repo", "repos"), "hash")
-    judged = each.select(f"{OWN}row", "start", "kind", "end", "hash", "dull").join(owned, "hash").withColumn(
+    times = each.groupBy("hash").agg(F.count(F.lit(1)).alias("times"))
+    owned = materialise(count(f"{OWN}owner", "owners").join(count(f"{OWN}repo", "repos"), "hash").join(times, "hash"), "secret-owners")
+    total = owned.agg(F.coalesce(F.sum("times"), F.lit(0))).first()[0]
+    judged = join_counted(each.select(f"{OWN}row", "start", "kind", "end", "hash", "dull"), owned, "hash", "times", total).withColumn(
         "live", (F.col("owners") <= max_owners) & (F.col("repos") <= max_repos) & ~F.col("dull")
     )
+    # A generic token that lies within a named one is the same find: one that starts before and ends later, or starts within.
     generic = F.col("kind") == KINDS.index("generic")
-    # A generic token that lies within a named one is the same find.
-    spans = F.array_sort(F.collect_list(F.when(~generic | F.col("live"), F.struct("start", "kind", "end", "owners", "repos", "live"))))
+    # Both windows look back, as one that looks ahead is summed anew for every row.
+    before, after = (Window.partitionBy(f"{OWN}row").orderBy(*(way(c) for c in ("start", "kind", "end"))).rowsBetween(Window.unboundedPreceding, -1) for way in (F.asc, F.desc))
+    inside = (F.max(F.when(~generic, F.col("end"))).over(before) > F.col("start")) | (F.min(F.when(~generic, F.col("start"))).over(after) < F.col("end"))
+    judged = judged.withColumn("same", generic & F.coalesce(inside, F.lit(False)))
+    spans = F.array_sort(F.collect_list(F.when(~generic | (F.col("live") & ~F.col("same")), F.struct("start", "kind", "end", "owners", "repos", "live"))))
     per_row = judged.groupBy(f"{OWN}row").agg(spans.alias("all"))
-    per_row = per_row.withColumn(
-        "all",
-        F.filter("all", lambda x: (x["kind"] != KINDS.index("generic")) | ~F.exists("all", lambda y: (y["kind"] != x["kind"]) & (y["start"] < x["end"]) & (x["start"] < y["end"]))),
-    )
     name = lambda x: F.concat_ws(":", F.get(F.array(*map(F.lit, KINDS)), x["kind"]), x["start"], x["end"])
     base = F.filter("all", lambda x: x["kind"] < len(BASE))
     number = lambda test: F.size(F.filter("all", test)).cast("long")
