@@ -11,7 +11,7 @@ occupied values that differ in exactly r bits, and verifies the codes found ther
 Once segments 0 to t have been searched up to r and the rest up to r - 1, a code not seen
 differs in at least ``m r + t + 1`` bits; the search of a query ends when its k-th verified
 distance is below that, so results are exact. Each pair of blocks returns k rows a query at
-most, merged by one window a query.
+most, merged by one window a query; the rows of an answer are then at most ``k`` for each query.
 
 Order is (distance, id), ids ascending. A row without a code is not found, a query without one
 finds nothing. Ids that repeat are found as often as they repeat. Fewer than k rows give fewer
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronofold.llm.common import OWN, materialise
+from chronofold.llm.common import OWN, join_counted, materialise
 
 BITS = 64
 #: Most entries, and most queries, of a block; a block has no fewer than LEAST entries to keep small inputs parallel.
@@ -152,8 +152,11 @@ def top_k(base: DataFrame, queries: DataFrame, k: int, id_col: str, code_col: st
     dealt, posed = dealt.repartition(tasks, "i", "j"), posed.repartition(tasks, "i", "j")
     found = dealt.groupBy("i", "j").cogroup(posed.groupBy("i", "j")).applyInArrow(_task(k), "code long, id long, distance long")
     rank = F.row_number().over(Window.partitionBy("code").orderBy("distance", "id"))
-    best = found.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)
-    return asked.join(best, "code").select("query_id", "rank", F.col("id").alias("neighbour_id"), "distance")
+    best = found.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k).groupBy("code").agg(F.collect_list(F.struct("rank", "id", "distance")).alias("best"))
+    # Of queries that share a code all would meet in one task; those of common codes stay where they are.
+    times = asked.groupBy("code").agg(F.count(F.lit(1)).alias("times"))
+    answered = join_counted(asked, materialise(best.join(times, "code"), "code-answers"), "code", "times", asked.count())
+    return answered.select("query_id", F.explode("best").alias("x")).select("query_id", "x.rank", F.col("x.id").alias("neighbour_id"), "x.distance")
 
 
 def search_embeddings(vectors: DataFrame, k: int = 10, every: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
