@@ -7,16 +7,17 @@ it and on nothing else: text that is inserted before a passage shifts no boundar
 chunks inside a document have two lines at least and three on average.
 
 A chunk of two non-blank lines or more that occurs again anywhere in the corpus goes, except
-where it occurs first, by order of id (nulls last), text and line. So does, as a passage in
-itself, a single line of more than ``passage_words`` words (None: multi-line chunks only).
+where it occurs first, by order of id (nulls last), a hash of the text, and line. With
+``passage_words`` a single line of more words than that goes as well, as a passage in itself;
+that is an addition to the method and off by default.
 Chunks are matched by md5 and then byte by byte: of each hash the least and the greatest text
 are compared, and where they differ the hash is split by its texts.
 
 DataFrame functions only. Counting moves (hash, place) pairs, aggregated before they are
-shuffled. Marks of repeated chunks go back to documents by (id, hash of the text), once to
-compare the texts of marked chunks, which are aggregated before they are shuffled, and once
-to cut them. No chunk, however common, is gathered anywhere: places of very
-common ones are joined where they are.
+shuffled. Marks of repeated chunks meet their texts by (id, hash of the text): texts that
+surely have no mark are told by a bitmap (``may_be_in``) and stay where they are, the others
+move once, to be compared and cut. No chunk, however common, is gathered anywhere: places of
+very common ones are joined where they are.
 
 A null text stays null and has no lines; an empty text has one empty line. Rows that repeat
 both id and text count as one place, and keep the same lines. A document may be left with an
@@ -28,15 +29,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronofold.llm.common import OWN, join_counted, materialise
+from chronofold.llm.common import OWN, join_counted, materialise, may_be_in
 
-PASSAGE_WORDS = 50
 _LINES, _HASHES, _ROLLING, _ENDS, _TEXT_HASH = (f"{OWN}{x}" for x in ("lines", "hashes", "rolling", "ends", "th"))
 
 
+def text_hash(text_col: str) -> Column:
+    return F.conv(F.substring(F.md5(F.col(text_col).cast("string")), 1, 15), 16, 10).cast("bigint")
+
+
 def with_chunks(docs: DataFrame, id_col: str, text_col: str, passage_words: int | None) -> DataFrame:
     """(id, text hash, first, last, unit) for every removable chunk and passage."""
-    df = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col), F.xxhash64(text_col).alias(_TEXT_HASH), F.split(F.col(text_col), "\n", -1).alias(_LINES))
+    df = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col), text_hash(text_col).alias(_TEXT_HASH), F.split(F.col(text_col), "\n", -1).alias(_LINES))
     df = df.withColumn(_HASHES, F.expr(f"transform({_LINES}, l -> cast(conv(substr(md5(l), 1, 15), 16, 10) as bigint))"))
     df = df.withColumn(_ROLLING, F.expr(f"transform({_HASHES}, (h, i) -> if(i = 0, h, shiftleft(get({_HASHES}, i - 1) & 576460752303423487, 1) ^ h))"))
     df = df.withColumn(
@@ -66,7 +70,7 @@ def _place(id_col: str) -> Column:
     return F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("i"), F.col(_TEXT_HASH).alias("t"), F.col("first").alias("f"))
 
 
-def marks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", passage_words: int | None = PASSAGE_WORDS) -> DataFrame:
+def marks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", passage_words: int | None = None) -> DataFrame:
     """(``__cf_id``, ``__cf_th2``, ``__cf_marks``): for each document its chunks whose hash repeats; ``later`` if another place comes before."""
     units = with_chunks(docs, id_col, text_col, passage_words)
     narrow = materialise(units.select(id_col, _TEXT_HASH, "first", "last", unit_hash(F.col("unit")).alias("hash")), "line-chunks")
@@ -78,14 +82,16 @@ def marks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", passa
     return found.groupBy(F.col(id_col).alias(f"{OWN}id"), F.col(_TEXT_HASH).alias(f"{OWN}th2")).agg(F.collect_set(mark).alias(f"{OWN}marks"))
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", passage_words: int | None = PASSAGE_WORDS, report: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", passage_words: int | None = None, report: bool = False) -> DataFrame:
     """``docs`` without the repeated lines; with ``report`` also ``__cf_gone``, the line numbers removed, null if none."""
     marked = materialise(marks(docs, id_col, text_col, passage_words), "line-marks")
-    keyed = docs.withColumn(_TEXT_HASH, F.xxhash64(text_col))
+    place_key = lambda i, t: F.xxhash64(F.col(i), F.col(t))
+    keyed = may_be_in(docs.withColumn(_TEXT_HASH, text_hash(text_col)), place_key(id_col, _TEXT_HASH), marked.select(place_key(f"{OWN}id", f"{OWN}th2").alias("key")), f"{OWN}may")
     same_doc = F.col(id_col).eqNullSafe(F.col(f"{OWN}id")) & (F.col(_TEXT_HASH) == F.col(f"{OWN}th2"))
-    joined = keyed.join(marked, same_doc, "left").drop(f"{OWN}id", f"{OWN}th2")
+    rest = keyed.where(~F.col(f"{OWN}may"))
+    joined = materialise(keyed.where(f"{OWN}may").join(marked, same_doc, "left").drop(f"{OWN}id", f"{OWN}th2", f"{OWN}may"), "line-texts")
 
-    lines = keyed.join(marked, same_doc).select(id_col, _TEXT_HASH, F.split(text_col, "\n", -1).alias(_LINES), F.explode(f"{OWN}marks").alias("m"))
+    lines = joined.where(F.col(f"{OWN}marks").isNotNull()).select(id_col, _TEXT_HASH, F.split(text_col, "\n", -1).alias(_LINES), F.explode(f"{OWN}marks").alias("m"))
     units = lines.select(id_col, _TEXT_HASH, "m.first", "m.last", "m.hash", F.expr(f"array_join(slice({_LINES}, m.first + 1, m.last - m.first + 1), '\\n')").alias("unit"))
     mixed = units.groupBy("hash").agg(F.min("unit").alias("a"), F.max("unit").alias("b")).where("a <> b").select("hash")
     mixed = materialise(mixed, "line-collisions")
@@ -105,10 +111,12 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", passa
     cut = joined.withColumn(f"{OWN}gone", F.when(F.size(gone) > 0, gone)).withColumn(_LINES, F.split(text_col, "\n", -1))
     kept = F.expr(f"array_join(transform(array_except(sequence(0, size({_LINES}) - 1), {OWN}gone), i -> get({_LINES}, i)), '\\n')")
     text = F.when(F.col(f"{OWN}gone").isNull(), F.col(text_col)).otherwise(kept)
-    return cut.select(*(text.alias(c) if c == text_col else F.col(c) for c in docs.columns), *([f"{OWN}gone"] if report else []))
+    out = cut.select(*(text.alias(c) if c == text_col else F.col(c) for c in docs.columns), f"{OWN}gone")
+    out = out.unionByName(rest.select(*docs.columns, F.lit(None).cast("array<int>").alias(f"{OWN}gone")))
+    return out if report else out.select(*docs.columns)
 
 
-def dedup_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", passage_words: int | None = PASSAGE_WORDS) -> DataFrame:
+def dedup_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", passage_words: int | None = None) -> DataFrame:
     """(id, n_lines, n_removed, removed, kept_md5) of every row; removed lists line numbers from 0."""
     narrow = docs.select(id_col, text_col, F.coalesce(F.size(F.split(text_col, "\n", -1)), F.lit(0)).cast("long").alias("n_lines"))
     narrow = narrow.withColumn("n_lines", F.greatest("n_lines", F.lit(0).cast("long")))
@@ -122,22 +130,21 @@ def dedup_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
 
 
-SQL = rf"""
-WITH docs AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
-hashed AS (SELECT *, list_transform(ls, lambda l: ('0x' || substr(md5(l), 1, 15))::BIGINT) AS hs FROM docs WHERE text IS NOT NULL),
+SQL = r"""
+WITH docs AS (SELECT DISTINCT doc_id, ('0x' || substr(md5(text), 1, 15))::BIGINT AS th, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
+hashed AS (SELECT *, list_transform(ls, lambda l: ('0x' || substr(md5(l), 1, 15))::BIGINT) AS hs FROM docs),
 rolled AS (SELECT *, list_transform(range(1, len(ls) + 1), lambda i: CASE WHEN i = 1 THEN hs[1] ELSE xor((hs[i - 1] & 576460752303423487) << 1, hs[i]) END) AS rs FROM hashed),
 ended AS (SELECT *, list_filter(range(1, len(ls) + 1), lambda i: i = len(ls) OR (i > 1 AND rs[i] < rs[i - 1] AND rs[i] <= rs[i + 1])) AS es FROM rolled),
 units AS (
-  SELECT doc_id, j, CASE WHEN j = 1 THEN 1 ELSE es[j - 1] + 1 END AS a, es[j] AS b, ls FROM (SELECT *, unnest(range(1, len(es) + 1)) AS j FROM ended)
+  SELECT doc_id, th, j, CASE WHEN j = 1 THEN 1 ELSE es[j - 1] + 1 END AS a, es[j] AS b, ls FROM (SELECT *, unnest(range(1, len(es) + 1)) AS j FROM ended)
 ), chunks AS (
-  SELECT doc_id, a, b, array_to_string(ls[a:b], chr(10)) AS unit FROM units WHERE b > a AND len(list_filter(ls[a:b], lambda x: trim(x) <> '')) >= 2
-  UNION ALL
-  SELECT doc_id, i, i, ls[i] FROM (SELECT *, unnest(range(1, len(ls) + 1)) AS i FROM docs WHERE text IS NOT NULL) WHERE len(string_split(ls[i], ' ')) > {PASSAGE_WORDS}
+  SELECT doc_id, th, a, b, array_to_string(ls[a:b], chr(10)) AS unit FROM units WHERE b > a AND len(list_filter(ls[a:b], lambda x: trim(x) <> '')) >= 2
 ), gone AS (
-  SELECT DISTINCT doc_id, unnest(range(a, b + 1)) AS i FROM (SELECT *, row_number() OVER (PARTITION BY unit ORDER BY doc_id, a) AS n FROM chunks) WHERE n > 1
-), cut AS (SELECT doc_id, list(i ORDER BY i) AS g FROM gone GROUP BY doc_id)
+  SELECT DISTINCT doc_id, th, unnest(range(a, b + 1)) AS i FROM (SELECT *, row_number() OVER (PARTITION BY unit ORDER BY doc_id NULLS LAST, th, a) AS n FROM chunks) WHERE n > 1
+), cut AS (SELECT doc_id, th, list(i ORDER BY i) AS g FROM gone GROUP BY doc_id, th),
+texts AS (SELECT doc_id, text, ('0x' || substr(md5(text), 1, 15))::BIGINT AS th, string_split(text, chr(10)) AS ls FROM documents)
 SELECT d.doc_id, CAST(coalesce(len(d.ls), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(g), 0) AS BIGINT) AS n_removed,
   coalesce(array_to_string(list_transform(g, lambda x: x - 1), ','), '') AS removed,
   CASE WHEN g IS NULL THEN md5(text) ELSE md5(array_to_string(list_transform(list_filter(range(1, len(d.ls) + 1), lambda i: NOT list_contains(g, i)), lambda i: d.ls[i]), chr(10))) END AS kept_md5
-FROM docs d LEFT JOIN cut ON d.doc_id = cut.doc_id
+FROM texts d LEFT JOIN cut ON d.doc_id IS NOT DISTINCT FROM cut.doc_id AND d.th = cut.th
 """

@@ -108,11 +108,11 @@ def test_mixed_rows_repeat(spark):
 # --- lines
 
 
-def brute_lines(rows, passage=50):
-    docs = sorted({(i is None, i if i is not None else 0, t) for i, t in rows if t is not None}, key=lambda d: (d[0], d[1]))
+def brute_lines(rows, passage=None):
     import hashlib
 
     h = lambda x: int(hashlib.md5(x.encode()).hexdigest()[:15], 16)
+    docs = sorted({(i is None, i if i is not None else 0, t) for i, t in rows if t is not None}, key=lambda d: (d[0], d[1], h(d[2])))
     places = []
     for d in docs:
         ls = d[2].split("\n")
@@ -124,7 +124,7 @@ def brute_lines(rows, passage=50):
                 if i > a and sum(bool(x.strip(" ")) for x in ls[a : i + 1]) >= 2:
                     places.append((d, a, i, "\n".join(ls[a : i + 1])))
                 a = i + 1
-        places += [(d, i, i, x) for i, x in enumerate(ls) if len(x.split(" ")) > passage]
+        places += [(d, i, i, x) for i, x in enumerate(ls) if passage and len(x.split(" ")) > passage]
     first, gone = {}, defaultdict(set)
     for p in places:
         if p[3] in first:
@@ -152,15 +152,17 @@ def lines_corpus():
     return rows + [(500, rows[0][1]), (501, ""), (502, None), (503, "\n\n\n"), (504, "\n\n\n"), (None, rows[3][1])]
 
 
-def test_line_dedup_against_brute_force(spark):
+@pytest.mark.parametrize("passage", [None, 50])
+def test_line_dedup_against_brute_force(spark, passage):
     rows = lines_corpus()
     df = docs_of(spark, [(i, t, "s") for i, t in rows]).selectExpr("*", "1 as hash", "2 as first")
-    out = linededup.dedup(df)
+    out = linededup.dedup(df, passage_words=passage)
     assert out.columns == df.columns
-    got, want = {r.doc_id: r.text for r in out.collect()}, brute_lines(rows)
+    got, want = {r.doc_id: r.text for r in out.collect()}, brute_lines(rows, passage)
     assert len(got) == len(rows) and got[502] is None
     assert {i: t for i, t in got.items() if i != 502} == want
-    assert sum(f"shared line {i}" in t for t in want.values() for i in (5, 6)) <= 4 and got[500] == ""
+    assert sum(f"shared line {i}" in t for t in want.values() for i in (5, 6)) <= 4 and (got[500] == "" or not passage)
+    assert (sum("word59" in t for t in want.values()) == 1) == bool(passage)
     assert linededup.dedup(df.where("false")).count() == 0
 
 
@@ -407,6 +409,13 @@ def test_top_k_against_brute_force(spark, block):
     assert codesearch.top_k(few, few, 7, "id").count() == 9 and codesearch.top_k(df.where("false"), df, 7, "id").count() == 0
 
 
+def test_queries_of_one_code(spark):
+    """Hundreds of queries share a code, as zero vectors do."""
+    rows = [(20 * i, 5) for i in range(300)] + [(i, 5 ^ (1 << i % 60)) for i in range(1, 100) if i % 20]
+    df = spark.createDataFrame(rows, "id long, code long")
+    assert sorted(map(tuple, codesearch.top_k(df, df.where("id % 20 = 0"), 3, "id").collect())) == brute_top(rows, 3)
+
+
 def test_sign_codes(spark):
     rows = [(0, [1.0, -1.0, 0.0]), (20, [-1.0] * 63 + [1.0]), (1, None), (2, []), (3, [1.0, None]), (4, [1.0] * 65), (5, [float("nan"), -0.5])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
@@ -419,9 +428,10 @@ def test_sign_codes(spark):
 
 
 def test_sql_of_lines_on_a_fixture(spark):
-    rows = [r for r in lines_corpus() if r[0] is not None]
-    got = sorted(tuple(r) for r in linededup.dedup_report(docs_of(spark, [(i, t, "s") for i, t in rows])).collect())
+    rows = lines_corpus()
+    rows += [(7, rows[9][1]), (7, rows[9][1]), (None, rows[12][1]), (None, None), (3, rows[3][1]), (3, "own line\n" + rows[3][1])]
+    got = [tuple(r) for r in linededup.dedup_report(docs_of(spark, [(i, t, "s") for i, t in rows])).collect()]
     con = duckdb.connect()
     con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
     con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
-    assert got == sorted(con.execute(linededup.SQL).fetchall())
+    assert len(got) == len(rows) and sorted(map(repr, got)) == sorted(map(repr, con.execute(linededup.SQL).fetchall()))

@@ -48,7 +48,7 @@ def test_stages(spark, corpus):
             m = langid.fit(before)
             assert ids == {r.doc_id for r in before.collect() if m.predict(r.text)[2]} and not ids & {200, 201} and len(ids) > 155
         if name == "lines":
-            assert {r.doc_id: r.text for r in docs.collect()} == brute_lines(rows)
+            assert {r.doc_id: r.text for r in docs.collect()} == brute_lines(rows, corpus_pipeline.PASSAGE_WORDS)
         if name == "near_duplicates":
             assert sorted(r.doc_id for r in docs.collect()) == sorted(set(brute_groups(rows).values()))
         if name == "mix":
