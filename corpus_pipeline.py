@@ -6,7 +6,7 @@ most. All but the last return the columns of ``documents``.
 
 1. language: documents whose language the model rejects go, as do those without a letter.
 2. lines: repeated chunks of lines and repeated long lines go, except where they occur first.
-3. near_duplicates: of each group of texts alike, by 0.8 or more of their 5-word shingles, the one with the smallest id stays.
+3. near_duplicates: of each group of texts alike, by 0.8 or more of their 5-word shingles, one row stays, that of the smallest id.
 4. mix: documents are taken as often as their source's target asks for.
 5. pack: documents become pieces of sequences of 2048 tokens.
 """
@@ -19,12 +19,16 @@ from chronofold.llm import langid, linededup, mixing, packing, similar
 from chronofold.llm.common import documents, materialise
 
 
+#: A line of more words counts as a passage of its own, so that one that repeats is kept once.
+PASSAGE_WORDS = 50
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return langid.keep_accepted(docs, langid.fit(docs))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return linededup.dedup(docs)
+    return linededup.dedup(docs, passage_words=PASSAGE_WORDS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
