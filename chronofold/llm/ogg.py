@@ -4,7 +4,10 @@ The reader takes nothing on trust. It finds pages by their capture pattern, veri
 page's checksum, rebuilds packets from the lacing values (a segment of 255 goes on, a
 shorter one ends the packet, a packet may go on over pages), keeps logical streams apart by
 serial number, notices gaps in a stream's page numbers, and takes times from granule
-positions. A page that fails its checksum is passed over and counted; the packet that it
+positions. A page's granule is where the last packet that ends on it ends; the packets that
+end before it on the page lie back from there by their durations, and one that isn't dated by
+its page follows the one before it (``Stream.times``). Where a packet starts after the one before
+it ended, something was lost: a gap of known length. A page that fails its checksum is passed over and counted; the packet that it
 broke is dropped, all others are kept.
 
 The media column stores a payload as 8-bit samples: a stream of PCM packets, multiplexed
@@ -20,6 +23,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -54,6 +58,20 @@ class Stream:
     lost: int = 0
     page: int | None = None
     part: bytes | None = None
+    broken: set[int] = field(default_factory=set)  # packets before which pages are missing
+
+    def times(self, duration: Callable[[bytes], int]) -> list[tuple[int, int]]:
+        """Start and end of each packet, in granules; ``duration`` is a packet's length in these."""
+        n = len(self.packets)
+        span = [duration(p) for p in self.packets]
+        end: list[int | None] = [g if g != _NONE else None for g in self.granules]
+        for i in range(n - 2, -1, -1):  # back from the next packet, unless pages between are missing
+            if end[i] is None and i + 1 not in self.broken and end[i + 1] is not None:
+                end[i] = end[i + 1] - span[i + 1]
+        for i in range(n):  # on from the one before
+            if end[i] is None:
+                end[i] = (end[i - 1] if i else 0) + span[i]
+        return [(e - d, e) for e, d in zip(end, span, strict=True)]
 
 
 class Writer:
@@ -128,6 +146,7 @@ def read(data: bytes) -> tuple[dict[int, Stream], int]:
         if s.page is not None and number != s.page + 1:
             s.lost += 1
             s.part = None
+            s.broken.add(len(s.packets))
         s.page = number
         body, ends = at + 27 + n, []
         if not flags & 1:
@@ -177,6 +196,10 @@ class Media:
     lost: int
     bad: int
     notes: str
+    first: float = 0.0  # seconds at which the first packet starts
+    missing: float = 0.0  # seconds between packets that nothing covers
+    times: list[tuple[float, float]] = field(default_factory=list)  # of each packet of samples
+    noted: float = 0.0  # seconds at which the notes end
 
 
 def decode(data: bytes) -> Media:
@@ -186,7 +209,16 @@ def decode(data: bytes) -> Media:
     if pcm is None:
         return Media(b"", 0, 0.0, 0, len(streams), 0, bad, "")
     rate = struct.unpack_from("<I", pcm.packets[0], len(PCM))[0]
-    return Media(b"".join(pcm.packets[1:]), rate, max(0, *pcm.granules) / rate, len(pcm.packets) - 1, len(streams), pcm.lost, bad, (told.packets[1:] or [b""])[0].decode() if told else "")
+    # The header lasts nothing, a sample a granule.
+    at = pcm.times(lambda p: 0 if p.startswith(PCM) else len(p))[1:]
+    times = [(a / rate, b / rate) for a, b in at]
+    missing = sum(max(0, b[0] - a[1]) for a, b in zip(at, at[1:], strict=False)) / rate
+    noted = max(0, *told.granules) / rate if told and len(told.granules) > 1 else 0.0
+    notes = (told.packets[1:] or [b""])[0].decode() if told else ""
+    return Media(
+        b"".join(pcm.packets[1:]), rate, times[-1][1] if times else 0.0, len(pcm.packets) - 1, len(streams), pcm.lost, bad, notes,
+        first=times[0][0] if times else 0.0, missing=missing, times=times, noted=noted,
+    )
 
 
 def payload_of(text: str | None, unit: int = UNIT) -> tuple[bytes, int]:
@@ -195,10 +227,11 @@ def payload_of(text: str | None, unit: int = UNIT) -> tuple[bytes, int]:
 
 
 def feature(m: Media) -> str:
-    """Seconds by the last granule position, packets, streams, mean, spread and sign changes of the samples."""
+    """Times by granule positions (last end, first start, mean packet, uncovered, notes), packets, streams, mean, spread and sign changes of the samples."""
     x = np.frombuffer(m.samples, np.uint8).astype(np.int32) - 128
     crossings = int(np.count_nonzero((x[1:] < 0) != (x[:-1] < 0)))
-    return f"s={m.seconds:.6f};packets={m.packets};streams={m.streams};mean={x.mean():.4f};sd={x.std():.4f};crossings={crossings}"
+    each = sum(b - a for a, b in m.times) / max(1, len(m.times))
+    return f"s={m.seconds:.6f};first={m.first:.6f};each={each:.6f};missing={m.missing:.6f};notes={m.noted:.6f};packets={m.packets};streams={m.streams};mean={x.mean():.4f};sd={x.std():.4f};crossings={crossings}"
 
 
 _SCHEMA = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"

@@ -161,6 +161,24 @@ def test_damaged_page_is_passed_over():
     assert ogg.decode(b"").samples == b""
 
 
+@pytest.mark.parametrize("packet", [100, 576, 4608, 70_000])
+def test_times_of_packets(packet):
+    payload = bytes(range(256)) * 900
+    m = ogg.decode(ogg.encode(payload, packet=packet))
+    starts = [(i / 8000, min(len(payload), i + packet) / 8000) for i in range(0, len(payload), packet)]
+    assert m.times == starts and m.first == 0 and m.missing == 0 and m.noted == m.seconds == len(payload) / 8000
+
+
+def test_times_around_a_damaged_page():
+    payload = bytes(range(256)) * 2000
+    data = bytearray(ogg.encode(payload))
+    data[len(data) // 2] ^= 1
+    m = ogg.decode(bytes(data))
+    assert m.lost == 1 and m.seconds == len(payload) / 8000 and m.missing * 8000 == len(payload) - len(m.samples)
+    for (a, b), data in zip(m.times, [m.samples[i : i + ogg.PACKET] for i in range(0, len(m.samples), ogg.PACKET)], strict=True):
+        assert payload[round(a * 8000) : round(b * 8000)] == data
+
+
 def test_media_rows(spark):
     texts = ["", None, "a", "é" * 288, "x" * 577, "y" * 200_000, "a"]
     rows = ogg.media_digest(docs_of(spark, texts).selectExpr("*", "0 as feature")).orderBy("doc_id").collect()
