@@ -5,7 +5,7 @@ rest in tasks, and stores raw answers, observations, captures, and at last the c
 marks; a round that dies before its marks is simply done again.
 
 Tasks only fetch. A task has a client for each witness, with its own share of the witness's
-rate, its own breaker, and hands on texts; Spark parses them. Where an archive can list whole
+rate and a guard of its own, and hands on texts; Spark parses them. Where an archive can list whole
 hosts, a host with ``BATCH`` pending URLs or more is fetched once, and URLs meet its captures
 in a join on the match key.
 
@@ -29,7 +29,7 @@ from chronofold.functions import statuses
 from chronofold.functions import urls as U
 from chronofold.operators import checkpoints as C
 from chronofold.operators import dedupe, parsers
-from chronofold.operators.limits import FAILURES, LIVE_FAILURES, Breaker, Limiter
+from chronofold.operators.limits import FAILURES, HARD, LIVE_FAILURES, SOFT, Guard, Terms
 from chronofold.sources import files, raw
 from chronofold.sources.clients import ArchiveClient, LiveClient
 from chronofold.sources.registry import Witness
@@ -63,41 +63,29 @@ class Unit:
     """One witness within a task."""
 
     def __init__(self, witness: Witness, transport: Transport, history: str, tasks: int):
-        self.limiter = Limiter(witness.requests_per_second / tasks)
-        self.breaker = Breaker(LIVE_FAILURES if witness.archive is None else FAILURES)
+        self.guard = Guard(Terms(witness.requests_per_second / tasks, LIVE_FAILURES if witness.archive is None else FAILURES))
         if witness.archive is None:
             self.client = LiveClient(transport, witness.timeout_seconds)
         else:
-            self.client = ArchiveClient(witness.archive, transport, witness.timeout_seconds, history, self.limiter.wait)
+            self.client = ArchiveClient(witness.archive, transport, witness.timeout_seconds, history, self.guard.wait)
 
     def ready(self) -> bool:
-        if not self.breaker.is_open:
-            return True
-        if not self.breaker.may_check:
-            return False
-        if self.client.healthy():
-            self.breaker.success()
-            return True
-        self.breaker.check_failed()
-        return False
+        return self.guard.lets_through(self.client.healthy)
 
     def run(self, call: Callable[[], object], waits: bool = True) -> tuple[object, FetchError | None]:
-        """The call's result or error; limiter and breaker learn from it."""
+        """The call's result or error; the guard learns from it."""
         if waits:
-            self.limiter.wait()
+            self.guard.wait()
         try:
             result = call()
         except FetchError as e:
             if e.penalise:
-                if e.error_class in self.client.trip:
-                    self.breaker.failure()
-                if e.error_class in self.client.slow_down:
-                    self.limiter.failure(e.error_class in self.client.hard)
+                strain = (HARD if e.error_class in self.client.hard else SOFT) if e.error_class in self.client.slow_down else 1.0
+                self.guard.learn(e.error_class in self.client.trip, strain)
             return None, e
         except Exception as e:  # an answer that breaks a client is the answer's fault
             return None, FetchError("malformed_response", f"{type(e).__name__}: {e}", penalise=False)
-        self.breaker.success()
-        self.limiter.success()
+        self.guard.learn()
         return result, None
 
 

@@ -8,7 +8,8 @@ from chronofold import cli
 from chronofold import schemas as S
 from chronofold.functions import urls as U
 from chronofold.operators import checkpoints as C
-from chronofold.operators.limits import Breaker, Limiter, delay
+from chronofold.operators import limits
+from chronofold.operators.limits import Guard, Terms, delay
 from chronofold.plans import classify, collect, pick
 from chronofold.sources import raw
 from chronofold.sources.clients import ArchiveClient, LiveClient
@@ -181,30 +182,67 @@ def test_remembered_dns_failure_is_not_penalised():
 def test_limits():
     now = [0.0]
     waits = []
-    lim = Limiter(10, clock=lambda: now[0], pause=waits.append)
-    lim.wait()
-    lim.wait()
+    g = Guard(Terms(10), clock=lambda: now[0], pause=waits.append)
+    g.wait()
+    g.wait()
     assert waits == [pytest.approx(0.1)]
+    spacing = lambda: g.terms.spacing * g.state.stretch
     for _ in range(500):
-        lim.success()
-    assert lim.interval == pytest.approx(0.025)
+        g.learn()
+    assert spacing() == pytest.approx(0.025)
     for _ in range(50):
-        lim.failure()
-    assert lim.interval == pytest.approx(1.0)
-    b = Breaker(2, 120, clock=lambda: now[0])
-    b.failure()
-    b.success()
-    b.failure()
-    assert not b.is_open
-    b.failure()
-    assert b.is_open and not b.may_check
+        g.learn(counts=False, strain=limits.HARD)
+    assert spacing() == pytest.approx(1.0) and not limits.is_shut(g.state)
+    b = Guard(Terms(10, 2, 120), clock=lambda: now[0])
+    b.learn(True, 1.0)
+    b.learn()
+    b.learn(True, 1.0)
+    assert not limits.is_shut(b.state)
+    b.learn(True, 1.0)
+    assert limits.is_shut(b.state) and not limits.may_look(b.state, b.terms, 0.0) and not b.lets_through(lambda: True)
     now[0] = 121
-    assert b.may_check
-    b.check_failed()
-    assert not b.may_check and b.failed_checks == 1
+    assert limits.may_look(b.state, b.terms, 121) and not b.lets_through(lambda: False)
+    assert not limits.may_look(b.state, b.terms, 121) and b.state.looks == 1
+    now[0] = 242
+    assert b.lets_through(lambda: True) and b.state.streak == b.state.looks == 0
     assert delay("timeout", 3, lambda a, b: b) == 8 and delay("timeout", 9, lambda a, b: b) == 30 and delay("odd", 1, lambda a, b: b) == 5
 
 
+def test_ways_to_turn_pages():
+    """Numbered pages, keys, all at once; a history without end and a listing that is too big give nothing."""
+
+    def client(answer):
+        class Server(Net):
+            def get(self, url, timeout, limit=None):
+                asked.append(url.split("output=json")[1])
+                return Response(200, answer(url).encode())
+
+        return ArchiveClient(archive(), Server(), 1.0)
+
+    table = lambda n, key=None: json.dumps([["timestamp", "original"], *[["1", "a"]] * n, *([[key]] if key else [])])
+    asked = []
+    assert client(lambda u: "3" if "NumPages" in u else table(2)).host_pages("h") == [json.dumps(json.loads(table(2)))] * 3
+    assert asked == ["&showNumPages=true", "&page=0", "&page=1", "&page=2"]
+    assert client(lambda u: "50000" if "NumPages" in u else table(2)).host_pages("h") is None
+    asked = []
+    c = client(lambda u: "no" if "NumPages" in u else table(7001) if "limit" not in u else table(5000))
+    assert [len(json.loads(t)) for t in c.host_pages("h")] == [7002] and c.way == "at_once"
+    assert len(c.host_pages("i")) == 1 and asked[-1] == "" and sum("NumPages" in a for a in asked) == 1
+    asked = []
+    c = client(lambda u: "" if "NumPages" in u else table(1) if "resumeKey=k" in u else table(5000, "k"))
+    assert [len(json.loads(t)) for t in c.host_pages("h")] == [5001, 2] and c.way == "by_key"
+    n = [0]
+
+    def endless(url):
+        n[0] += 1
+        return table(1, f"k{n[0]}")
+
+    with pytest.raises(FetchError):
+        client(endless).query("a")
+    assert client(lambda u: table(1, "same")).query("a") == [("cdx", table(2))]
+    assert client(lambda u: "<html>").query("a") == [("cdx", "<html>")]
+
+
 def test_checkpoints(spark):
     rows = [("u", "w", S.RETRY, "timeout"), ("u", "w", S.RETRY, None), ("u", "w", S.SUCCESS, None), ("v", "w", S.SKIPPED, None), ("z", "w", S.FAILED, "not_found")]
     log = C.mark(spark.createDataFrame([(*r, i, NOW) for i, r in enumerate(rows)], "url_id string, witness string, state string, error_class string, seq bigint, updated_at timestamp"))
