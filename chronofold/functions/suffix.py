@@ -1,13 +1,16 @@
 """Public suffixes, by the rule list that comes with Spark's own HTTP client.
 
-The list is read at run time from the jar (ICANN section), not copied. The rules, some ten
+The list is read at run time (ICANN section), not copied: through the JVM's class loader, or
+else from the jar. Where it can't be found that is an error, never an empty list. The rules, some ten
 thousand at most, go to every task; hosts are made distinct first.
 """
 
 from __future__ import annotations
 
+import logging
+import os
 import zipfile
-from functools import cache
+from collections.abc import Iterator
 from pathlib import Path
 
 import pyspark
@@ -18,19 +21,37 @@ from chronofold.functions import urls as U
 
 _LIST = "mozilla/public-suffix-list.txt"
 MOST_RULES = 50_000
+#: The rules, once they have been read.
+_KNOWN: list[tuple[tuple[str, int], ...]] = []
 
 
-@cache
-def rules() -> tuple[tuple[str, int], ...]:
-    """(rule, kind): 0 plain, 1 the base of a wildcard, 2 an exception; international ones in both spellings."""
-    text = ""
-    for jar in sorted((Path(pyspark.__file__).parent / "jars").glob("httpclient-*.jar")):
+def _jars() -> Iterator[Path]:
+    """Where Spark's jars may lie, apart from what its JVM has loaded."""
+    homes = [Path(pyspark.__file__).parent, *(Path(h) for h in [os.environ.get("SPARK_HOME")] if h)]
+    for home in homes:
+        yield from sorted((home / "jars").glob("*httpclient*.jar"))
+
+
+def list_text(spark: SparkSession) -> str:
+    """The list, as the JVM's class loader or else a jar has it. Without one no suffix is known, which is an error."""
+    try:
+        loader = spark._jvm.java.lang.Thread.currentThread().getContextClassLoader()
+        stream = loader.getResourceAsStream(_LIST)
+        if stream is not None:
+            return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    except Exception as e:  # a session without a JVM of its own, or one that doesn't let it be asked
+        logging.getLogger(__name__).info("the JVM has no suffix list: %s", e)
+    for jar in _jars():
         with zipfile.ZipFile(jar) as z:
             if _LIST in z.namelist():
-                text = z.read(_LIST).decode("utf-8")
-    text = text.partition("===END ICANN DOMAINS===")[0]
+                return z.read(_LIST).decode("utf-8")
+    raise FileNotFoundError(f"no public suffix list: neither the JVM nor the jars of Spark's HTTP client have {_LIST}")
+
+
+def parse_rules(text: str) -> tuple[tuple[str, int], ...]:
+    """(rule, kind): 0 plain, 1 the base of a wildcard, 2 an exception; international ones in both spellings."""
     out = set()
-    for line in text.splitlines():
+    for line in text.partition("===END ICANN DOMAINS===")[0].splitlines():
         rule = line.strip()
         if rule and not rule.startswith("//"):
             kind = 1 if rule.startswith("*.") else 2 if rule.startswith("!") else 0
@@ -38,13 +59,21 @@ def rules() -> tuple[tuple[str, int], ...]:
             out.add((rule, kind))
             if not rule.isascii():
                 out.add((rule.encode("idna").decode(), kind))
+    if not out:
+        raise ValueError("the public suffix list has no rule")
     if len(out) > MOST_RULES:
         raise ValueError(f"{len(out)} suffix rules are too many to send to every task")
     return tuple(sorted(out))
 
 
+def rules(spark: SparkSession) -> tuple[tuple[str, int], ...]:
+    if not _KNOWN:
+        _KNOWN.append(parse_rules(list_text(spark)))
+    return _KNOWN[0]
+
+
 def rule_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(rules()), "rule string, kind int")
+    return spark.createDataFrame(list(rules(spark)), "rule string, kind int")
 
 
 def with_suffix(df: DataFrame, domain: Column, out: str = "tld") -> DataFrame:

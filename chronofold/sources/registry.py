@@ -1,8 +1,11 @@
-"""The registry of archives: one descriptor a folder, tens of files, read by the driver."""
+"""The registry of archives: one descriptor a folder, tens of files, read by the driver.
+
+What a descriptor says is looked up by dotted paths. Its comments are read too, as some admit
+that an archive holds pages older than itself.
+"""
 
 from __future__ import annotations
 
-import re
 import shutil
 import tomllib
 from dataclasses import asdict, dataclass, field
@@ -13,9 +16,6 @@ from pyspark.sql import DataFrame, SparkSession
 from chronofold import schemas as S
 
 FILE = "web-archive.txt"
-# A trailing comment of an assignment, and the two phrasings that tell when capturing began.
-_COMMENT = re.compile(r"^\s*([A-Za-z_][A-Za-z0-9_.]*)\s*=.*?#\s*(.+?)\s*$")
-_BEGAN = re.compile(r"\b(?:captur\w*\s+began|began\s+captur\w*)\s+in\s+(\d{4})", re.I)
 
 
 @dataclass(frozen=True)
@@ -64,40 +64,54 @@ ARCHIVE_RATE, LIMITED_RATE, ARCHIVE_TIMEOUT = 10.0, 10.0, 20.0
 TIMEOUTS = {"ia": 120.0}
 
 
+def look(data: object, path: str) -> object:
+    """What stands at a dotted path; None where there is nothing."""
+    for key in path.split("."):
+        if not isinstance(data, dict):
+            return None
+        data = data.get(key)
+    return data
+
+
 def display_name(value: object) -> str:
-    if isinstance(value, str):
-        return value
-    if isinstance(value, list) and value:
-        others = [v for v in value[1:] if isinstance(v, dict)]
-        extra = [v[k] for k in ("en", "alt") for v in others if v.get(k)]
-        return f"{value[0]} ({extra[0]})" if extra else str(value[0])
+    """A name, or a list of one and of tables with other names, the English one before any alternative."""
+    match value:
+        case str():
+            return value
+        case [first, *others]:
+            more = next((t[k] for k in ("en", "alt") for t in others if isinstance(t, dict) and t.get(k)), None)
+            return str(first) if more is None else f"{first} ({more})"
     return "unknown"
 
 
 def year(value: object) -> int | None:
-    text = str(value).strip() if value is not None else ""
+    text = "" if value is None else str(value).strip()
     return int(text) if text.isdigit() else None
 
 
-def _at(data: object, *keys: str) -> dict:
-    for k in keys:
-        data = data.get(k) if isinstance(data, dict) else None
-    return data if isinstance(data, dict) else {}
+_ENDPOINTS = {"cdx": "api.cdx.query", "timemap": "api.memento.timemap", "timegate": "api.memento.timegate"}
 
 
 def compile_one(text: str, folder: str) -> Archive | None:
     """A descriptor's archive; None without any endpoint. Collections count only if an endpoint asks for one."""
     data = tomllib.loads(text)
-    about, api = _at(data, "archive"), _at(data, "api")
-    cdx, timemap, gate = _at(api, "cdx", "query"), _at(api, "memento", "timemap"), _at(api, "memento", "timegate")
-    if not any(e.get("endpoint") for e in (cdx, timemap, gate)):
+    endpoint = {kind: look(data, f"{path}.endpoint") for kind, path in _ENDPOINTS.items()}
+    if not any(endpoint.values()):
         return None
-    asks = "{collection}" in f"{cdx.get('endpoint') or ''} {timemap.get('endpoint') or ''}"
-    ids = [c["id"] for c in _at(about, "scope").get("collections", []) if isinstance(c, dict) and c.get("id")] if asks else []
+    asked = any("{collection}" in (endpoint[kind] or "") for kind in ("cdx", "timemap"))
+    named = [look(c, "id") for c in look(data, "archive.scope.collections") or []]
+    collections = [c for c in named if c and asked]
+    limited = look(data, "api.rate_limit")
     return Archive(
-        about.get("id") or folder, display_name(about.get("name")), bool(api.get("rate_limit", True)), cdx.get("endpoint"), cdx.get("access"), timemap.get("endpoint"),
-        timemap.get("access"), year(about.get("established")), ids[0] if ids else None, ids,
-    )
+        id=look(data, "archive.id") or folder,
+        name=display_name(look(data, "archive.name")),
+        rate_limited=limited is None or bool(limited),
+        established=year(look(data, "archive.established")),
+        default_collection=next(iter(collections), None),
+        collections=collections,
+        **{f"{kind}_endpoint": endpoint[kind] for kind in ("cdx", "timemap")},
+        **{f"{kind}_access": look(data, f"{_ENDPOINTS[kind]}.access") for kind in ("cdx", "timemap")},
+    )
 
 
 def _descriptors(folder: Path | str) -> list[tuple[str, str]]:
@@ -109,40 +123,65 @@ def compile_all(folder: Path | str) -> list[Archive]:
     return sorted((a for a in found if a), key=lambda a: a.id)
 
 
+def remark(line: str) -> tuple[str, str] | None:
+    """The name that a line assigns to, and the comment behind the value; a sign within quotes begins none."""
+    name, equals, value = line.partition("=")
+    name = name.strip()
+    if not equals or not name.replace(".", "_").isidentifier():
+        return None
+    quote = None
+    for at, c in enumerate(value):
+        if quote:
+            quote = None if c == quote else quote
+        elif c in "\"'":
+            quote = c
+        elif c == "#":
+            said = value[at + 1 :].strip()
+            return (name, said) if said else None
+    return None
+
+
+def began(said: str) -> int | None:
+    """The year of "capturing began in 2007" or "began capturing in 2007", whatever the form of the verb."""
+    words = [w.lower().strip("()[],;:") for w in said.split()]
+    for verb, other, link, when in zip(words, words[1:], words[2:], words[3:], strict=False):
+        told = "began" in (verb, other) and any(w.startswith("captur") for w in (verb, other))
+        if told and link == "in" and when[:4].isdigit() and len(when) >= 4:
+            return int(when[:4])
+    return None
+
+
 def backfill_notes(folder: Path | str) -> list[dict]:
     """Comments that admit backfilling, with the year that capturing began if they tell it."""
     notes = []
     for name, text in _descriptors(folder):
+        said = [r for r in map(remark, text.splitlines()) if r and "backfill" in r[1].lower()]
         try:
-            established = year(_at(tomllib.loads(text), "archive").get("established"))
+            established = year(look(tomllib.loads(text), "archive.established")) if said else None
         except tomllib.TOMLDecodeError:
             established = None
-        for m in filter(None, map(_COMMENT.match, text.splitlines())):
-            if "backfill" in m[2].lower():
-                b = _BEGAN.search(m[2])
-                began = int(b[1]) if b else None
-                notes.append({"id": name, "field": m[1], "comment": m[2], "established": established, "capturing_began": began, "mismatch": None not in (began, established) and began != established})
+        for field_name, comment in said:
+            since = began(comment)
+            differs = since is not None and established is not None and since != established
+            notes.append(dict(id=name, field=field_name, comment=comment, established=established, capturing_began=since, mismatch=differs))
     return notes
 
 
 def established_years(folder: Path | str) -> dict[str, int]:
-    """For each archive the later of its founding and of when capturing began."""
-    years = {f"archive:{a.id}": a.established for a in compile_all(folder) if a.established is not None}
-    for n in backfill_notes(folder):
-        if n["capturing_began"] is not None:
-            key = f"archive:{n['id']}"
-            years[key] = max(n["capturing_began"], years.get(key, 0))
-    return years
-
-
-def witnesses(folder: Path | str, only: set[str] | None = None, exclude: set[str] = frozenset(), shards: int = 1, timeouts: dict[str, float] | None = None) -> list[Witness]:
-    """The live web and every archive with something online; shards share the rates."""
-    timeouts = TIMEOUTS if timeouts is None else timeouts
-    out = [Witness(S.LIVE, LIVE_RATE / shards, LIVE_TIMEOUT)]
-    for a in compile_all(folder):
-        if (only is None or a.id in only) and a.id not in exclude and "online" in (a.cdx_access, a.timemap_access):
-            out.append(Witness(f"archive:{a.id}", (LIMITED_RATE if a.rate_limited else ARCHIVE_RATE) / shards, timeouts.get(a.id, ARCHIVE_TIMEOUT), a))
-    return out
+    """For each archive the latest year that is known: when it was founded, when it began to capture."""
+    said = [(a.id, a.established) for a in compile_all(folder)] + [(n["id"], n["capturing_began"]) for n in backfill_notes(folder)]
+    return {f"archive:{name}": y for name, y in sorted((x for x in said if x[1] is not None), key=lambda x: x[1])}
+
+
+def witnesses(
+    folder: Path | str, only: set[str] | None = None, exclude: set[str] = frozenset(), shards: int = 1, timeouts: dict[str, float] | None = None, rates: dict[str, float] | None = None
+) -> list[Witness]:
+    """The live web and every archive with something online; shards share the rates. ``timeouts`` and ``rates`` are by archive."""
+    timeouts, rates = TIMEOUTS if timeouts is None else timeouts, rates or {}
+    usable = [a for a in compile_all(folder) if "online" in (a.cdx_access, a.timemap_access) and (only is None or a.id in only) and a.id not in exclude]
+    usual = {True: LIMITED_RATE, False: ARCHIVE_RATE}
+    archives = [Witness(f"archive:{a.id}", rates.get(a.id, usual[a.rate_limited]) / shards, timeouts.get(a.id, ARCHIVE_TIMEOUT), a) for a in usable]
+    return [Witness(S.LIVE, LIVE_RATE / shards, LIVE_TIMEOUT), *archives]
 
 
 def table(spark: SparkSession, archives: list[Archive]) -> DataFrame:

@@ -85,6 +85,22 @@ def test_suffixes(spark):
     assert {r.d: r.tld for r in df.collect()} == dict(zip(hosts, [".co.uk", ".com", ".ck", ".b.ck", ".kawasaki.jp", ".b.kawasaki.jp", "", ".de", ""], strict=True))
 
 
+def test_a_missing_suffix_list_is_an_error(spark, monkeypatch):
+    class NoJvm:
+        @property
+        def _jvm(self):
+            raise AttributeError("no JVM")
+
+    known = suffix.parse_rules(suffix.list_text(spark))
+    assert len(known) > 5000 and suffix.parse_rules(suffix.list_text(NoJvm())) == known  # from the jar
+    monkeypatch.setattr(suffix, "_jars", lambda: iter(()))
+    assert suffix.parse_rules(suffix.list_text(spark)) == known  # from the JVM, wherever its jars lie
+    with pytest.raises(FileNotFoundError):
+        suffix.list_text(NoJvm())
+    with pytest.raises(ValueError):
+        suffix.parse_rules("// nothing\n")
+
+
 def test_times(spark):
     got = column(spark, ["20240229", "2024", "20240230000000", "2024-02-29T12:30:00", None, "x"], lambda c: times.timestamp14(c).cast("string"))
     assert got == ["2024-02-29 00:00:00", None, None, "2024-02-29 12:30:00", None, None]
