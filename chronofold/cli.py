@@ -25,6 +25,10 @@ from chronofold.sources.store import Store
 from chronofold.sources.transport import HttpTransport, Transport
 
 
+#: Names the registry's source where no --source is given.
+SOURCE = "CHRONOFOLD_REGISTRY_SOURCE"
+
+
 def plural(n: int, one: str, many: str | None = None) -> str:
     return f"{n:,} {one if n == 1 else many or one + 's'}"
 
@@ -36,7 +40,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("-v", "--verbose", action="store_true")
     sub = p.add_subparsers(dest="command", required=True)
     c = sub.add_parser("fetch-archives", help="import the registry of archives")
-    c.add_argument("--source", required=True, help="a folder of descriptors, or the address of a git repository of them")
+    c.add_argument("--source", default=os.environ.get(SOURCE), help=f"a folder of descriptors, or the address of a git repository of them; {SOURCE} by default")
     sub.add_parser("list-archives", help="show the registry")
     c = sub.add_parser("run", help="pick URLs and query every witness")
     c.add_argument("--input", action="append", default=[], help="a list, a folder of lists, or a domain; may be repeated")
@@ -74,6 +78,8 @@ def run(args: argparse.Namespace, store: Store, transport: Transport) -> dict[st
     archives = [w.archive for w in known if w.archive] or registry.compile_all(args.registry)
     now = datetime.now(timezone.utc)
     collection.build_once(store, lambda: pick.prepare(store, args.input, now, scope, archives, transport))
+    for gap in pick.incomplete(store).collect():
+        print(f"incomplete: {gap.listing} on {gap.domain}: {gap.gap}", file=sys.stderr)
     stop = args.min_witnesses is not None or not args.changes
     options = collection.Options(
         history=history, stop_early=stop, threshold=args.min_witnesses or S.THRESHOLD, shard=shard, shards=shards, limit=args.limit, retry_failed=args.retry, tasks=args.workers or 8
@@ -90,6 +96,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, trans
         signal.signal(signal.SIGTERM, signal.default_int_handler)
     try:
         if args.command == "fetch-archives":
+            if not args.source:
+                raise ValueError(f"give --source, or set {SOURCE}")
             with tempfile.TemporaryDirectory() as folder:
                 source = args.source
                 if not Path(source).is_dir():

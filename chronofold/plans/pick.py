@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import logging
+from collections.abc import Callable, Iterator
 from datetime import datetime
+from time import sleep
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +19,8 @@ from chronofold.sources.registry import Archive
 from chronofold.sources.store import Store
 from chronofold.sources.transport import Transport
 
+_log = logging.getLogger(__name__)
+
 
 def shaped(rows: DataFrame, run_ts: datetime, scope: set[str] | None = None, sample: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(rows of the urls table, rejected rows). Rejected are URLs that can't be read; the first of each id stays."""
@@ -43,33 +47,60 @@ def write_urls(store: Store, rows: DataFrame, run_ts: datetime, scope: set[str]
     return {"added": added, "skipped": total - added - bad, "rejected": bad}
 
 
-def discover(spark: SparkSession, domain: str, archives: list[Archive], transport: Transport, scope: set[str]) -> DataFrame:
-    """Candidate rows of a domain: each archive's listing is fetched by a task of its own, line by line."""
+def discover(spark: SparkSession, domain: str, archives: list[Archive], transport: Transport, scope: set[str], gaps: list[tuple[str, str]] | None = None, pause: Callable[[float], None] = sleep) -> DataFrame:
+    """Candidate rows of a domain: each archive's listing is fetched once, by a task of its own, line by line.
+
+    ``gaps`` gets (listing, why) of every listing that couldn't be asked, or broke off: what it
+    would have added is missing.
+    """
     bases = [(b,) for a in archives if a.usable_cdx for b in a.listing_bases()]
     if not bases:
         raise ValueError("no archive with an online index is known; import a registry first")
     name = domain.lower().replace("http://", "").replace("https://", "").strip("/")
 
     def fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def rows(lines: list[str] = (), gap: tuple[str, str] | None = None) -> pd.DataFrame:
+            return pd.DataFrame([(x, None, None) for x in lines] + ([(None, *gap)] if gap else []), columns=["line", "listing", "gap"])
+
         for batch in batches:
             for base in batch["base"]:
-                if clients.domain_covered(transport, base, name) is not True:
+                covered = clients.domain_covered(transport, base, name, pause)
+                if covered is None:
+                    yield rows(gap=(base, "it didn't answer"))
+                if not covered:
                     continue
                 lines: list[str] = []
-                for line in clients.domain_lines(transport, base, name):
-                    lines.append(line)
-                    if len(lines) == 10_000:
-                        yield pd.DataFrame({"line": lines})
-                        lines = []
-                yield pd.DataFrame({"line": lines})
-
-    lines = spark.createDataFrame(bases, "base string").repartition(len(bases)).mapInPandas(fetch, "line string")
-    found = discovery.candidates(discovery.listed(lines), name, scope)
+                gap = None
+                try:
+                    for line in clients.domain_lines(transport, base, name, pause=pause):
+                        lines.append(line)
+                        if len(lines) == 10_000:
+                            yield rows(lines)
+                            lines = []
+                except clients.Incomplete:
+                    gap = (base, "it broke off")
+                yield rows(lines, gap)
+
+    staged = files.scratch(spark, "listing")
+    asked = spark.createDataFrame(bases, "base string").repartition(len(bases)).mapInPandas(fetch, "line string, listing string, gap string")
+    asked.write.mode("overwrite").parquet(staged)
+    listed = spark.read.parquet(staged)
+    if gaps is not None:  # a row for each listing at most
+        gaps += sorted((r.listing, r.gap) for r in listed.where("gap is not null").select("listing", "gap").collect())
+    found = discovery.candidates(discovery.listed(listed.where("line is not null").select("line")), name, scope)
     return found.withColumn("file_ord", F.lit(0)).withColumn("line_ord", F.xxhash64("url"))
 
 
+def incomplete(store: Store) -> DataFrame:
+    """(domain, listing, gap) of what the picked URLs lack; empty if every listing was read to its end."""
+    path = f"{store.out}/incomplete-listings"
+    schema = "domain string, listing string, gap string"
+    return store.spark.read.schema(schema).parquet(path) if files.exists(store.spark, path) else store.spark.createDataFrame([], schema)
+
+
 def prepare(
-    store: Store, inputs: list[str], run_ts: datetime, scope: set[str] | None = None, archives: list[Archive] | None = None, transport: Transport | None = None, default: str = "candidates"
+    store: Store, inputs: list[str], run_ts: datetime, scope: set[str] | None = None, archives: list[Archive] | None = None, transport: Transport | None = None, default: str = "candidates",
+    pause: Callable[[float], None] = sleep,
 ) -> dict[str, int]:
     """Fill the urls table once: a value that exists as a path is one, any other a domain."""
     if store.has_rows("urls"):
@@ -82,7 +113,13 @@ def prepare(
         raise ValueError(f"nothing to watch: give an input, or put lists into {default}")
     total = {"added": 0, "skipped": 0, "rejected": 0}
     tables = [candidates.read(spark, paths)] if paths else []
-    tables += [discover(spark, d, archives or [], transport, scope or discovery.SCOPES["all"]) for d in domains]
+    for d in domains:
+        gaps: list[tuple[str, str]] = []
+        tables.append(discover(spark, d, archives or [], transport, scope or discovery.SCOPES["all"], gaps, pause))
+        if gaps:
+            for listing, gap in gaps:
+                _log.warning("the listing of %s by %s is incomplete: %s", d, listing, gap)
+            spark.createDataFrame([(d, *g) for g in gaps], "domain string, listing string, gap string").write.mode("append").parquet(f"{store.out}/incomplete-listings")
     for rows in tables:
         for k, n in write_urls(store, rows, run_ts, scope if paths else None).items():
             total[k] += n

@@ -1,7 +1,10 @@
 """The engine's tables: directories of immutable Parquet parts under ``<out>/parquet``.
 
 Appending commits whole jobs; a part is never changed. The events are replaced as a whole:
-new parts are written aside, and only if there are any do they take the old ones' place.
+new parts are written aside, and only if there are any do they take the old ones' place. That
+takes two renames. Between them the table's folder is missing; whoever finds it so, a reader
+meanwhile or a session after a crash, reads the new parts, which were whole before the first
+rename, and a writer finishes the swap.
 """
 
 from __future__ import annotations
@@ -12,6 +15,8 @@ from pyspark.sql import functions as F
 from chronofold import schemas as S
 from chronofold.sources import files
 
+#: Rows up to which a result is one file, written by one task.
+ONE_FILE_ROWS = 5_000_000
 _KNOWN = S.TABLES | {"checkpoints": S.CHECKPOINT_LOG}
 
 
@@ -24,8 +29,16 @@ class Store:
             raise ValueError(f"no table {table!r}; there are {', '.join(_KNOWN)}")
         return f"{self.out}/parquet/{table}"
 
+    def _aside(self, table: str, what: str) -> str:
+        return f"{self.out}/parquet/.{table}.{what}"
+
+    def place(self, table: str) -> str:
+        """The folder that holds the table now: its own, or in the midst of a swap the one about to take its place."""
+        own, ready = self.path(table), self._aside(table, "ready")
+        return ready if not files.exists(self.spark, own) and files.exists(self.spark, ready) else own
+
     def parts(self, table: str) -> list[str]:
-        return files.names(self.spark, f"{self.path(table)}/*.parquet")
+        return files.names(self.spark, f"{self.place(table)}/*.parquet")
 
     def has_rows(self, table: str) -> bool:
         return bool(self.parts(table)) and not self.read(table).isEmpty()
@@ -35,7 +48,7 @@ class Store:
         schema = _KNOWN[table]
         if not self.parts(table):
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).option("pathGlobFilter", "*.parquet").parquet(self.path(table))
+        return self.spark.read.schema(schema).option("pathGlobFilter", "*.parquet").parquet(self.place(table))
 
     def _shaped(self, table: str, df: DataFrame) -> DataFrame:
         """The table's columns and types, instants cut to seconds, missing columns null."""
@@ -49,26 +62,35 @@ class Store:
     def append(self, table: str, df: DataFrame) -> None:
         self._shaped(table, df).write.mode("append").parquet(self.path(table))
 
+    def _swap(self, table: str) -> None:
+        """What is ready takes the table's place; safe to begin again wherever it was cut off."""
+        own, ready, old = self.path(table), self._aside(table, "ready"), self._aside(table, "old")
+        if files.exists(self.spark, ready):
+            if files.exists(self.spark, own):
+                files.remove(self.spark, old)
+                files.move(self.spark, own, old)
+            files.move(self.spark, ready, own)
+        files.remove(self.spark, old)
+
     def replace(self, table: str, df: DataFrame) -> int:
         """Stage, then swap; an empty result leaves what is there. Returns the rows written."""
-        staged = f"{self.out}/parquet/.{table}.staged"
+        staged = self._aside(table, "staged")
         files.remove(self.spark, staged)
         self._shaped(table, df).write.mode("overwrite").parquet(staged)
+        self._swap(table)  # one that was cut off; df may have read it
         written = self.spark.read.schema(_KNOWN[table]).parquet(staged).count()
         if written:
-            old = f"{self.out}/parquet/.{table}.old"
-            files.remove(self.spark, old)
-            if files.exists(self.spark, self.path(table)):
-                files.move(self.spark, self.path(table), old)
-            files.move(self.spark, staged, self.path(table))
-            files.remove(self.spark, old)
+            files.move(self.spark, staged, self._aside(table, "ready"))
+            self._swap(table)
         else:
             files.remove(self.spark, staged)
         return written
 
     def write_summary(self, df: DataFrame) -> int:
-        """One file, as readers of the summary expect one; it has a row for each URL."""
-        return _one_file(self.spark, df, f"{self.out}/summary.parquet")
+        """One file, as readers of the summary expect one, up to ONE_FILE_ROWS URLs; a folder of parts beyond."""
+        staged = files.scratch(self.spark, "summary")
+        df.write.mode("overwrite").parquet(staged)
+        return _exported(self.spark, self.spark.read.parquet(staged), f"{self.out}/summary.parquet", ONE_FILE_ROWS)
 
     def load_urls(self, limit: int | None = None, shard: int = 0, shards: int = 1) -> tuple[DataFrame, int]:
         """(url_id, original_url) and how many rows were seen; the limit counts before the shard does."""
@@ -80,17 +102,30 @@ class Store:
         total = rows.count()
         return (rows.where(shard_of(F.col("url_id"), shards) == shard) if shards > 1 else rows), total
 
-    def export(self, target: str) -> dict[str, int]:
-        """Each table as one file, and the summary; a table without parts gives none."""
-        found = {}
+    def export(self, target: str, files_of: int | None = ONE_FILE_ROWS) -> dict[str, int]:
+        """Each table, and the summary, under its name; a table without parts gives none.
+
+        Up to ``files_of`` rows (None: never) a table becomes one file; a larger one becomes a folder
+        of parts, written by as many tasks as there are, as one task would have to pass it all.
+        """
+        target, found = target.rstrip("/"), {}
         for table in S.TABLES:
-            found[table] = _one_file(self.spark, self.read(table), f"{target.rstrip('/')}/{table}.parquet") if self.parts(table) else 0
+            found[table] = _exported(self.spark, self.read(table), f"{target}/{table}.parquet", files_of) if self.parts(table) else 0
         source = f"{self.out}/summary.parquet"
         if files.exists(self.spark, source):
-            found["summary"] = _one_file(self.spark, self.spark.read.parquet(source), f"{target.rstrip('/')}/summary.parquet")
+            found["summary"] = _exported(self.spark, self.spark.read.parquet(source), f"{target}/summary.parquet", files_of)
         return found
 
 
+def _exported(spark: SparkSession, df: DataFrame, path: str, files_of: int | None) -> int:
+    rows = df.count()
+    if files_of is not None and rows <= files_of:
+        return _one_file(spark, df, path)
+    files.remove(spark, path)
+    df.write.mode("overwrite").parquet(path)
+    return rows
+
+
 def _one_file(spark: SparkSession, df: DataFrame, path: str) -> int:
     staged = f"{path}.staged"
     files.remove(spark, staged)

@@ -9,6 +9,7 @@ from chronofold.operators import dedupe, discovery
 from chronofold.plans import classify, pick
 from chronofold.sources import candidates, raw, registry
 from chronofold.sources.store import Store
+from chronofold.sources.transport import Response
 from chronofold.streaming import incremental
 from pyspark.sql import functions as F
 
@@ -71,6 +72,7 @@ def test_registry(spark, tmp_path):
     assert registry.backfill_notes(tmp_path)[0]["mismatch"] is True
     assert [w.name for w in registry.witnesses(tmp_path, shards=2)] == ["live_web", "archive:a"]
     assert registry.witnesses(tmp_path, shards=2)[0].requests_per_second == 50
+    assert registry.witnesses(tmp_path, rates={"a": 3.0})[1].requests_per_second == 3 and registry.witnesses(tmp_path, timeouts={"a": 7.0})[1].timeout_seconds == 7
     assert registry.table(spark, list(found.values())).count() == 3
     assert registry.display_name(["A", {"alt": "b"}]) == "A (b)" and registry.display_name(None) == "unknown"
     target = tmp_path / "t"
@@ -78,6 +80,29 @@ def test_registry(spark, tmp_path):
     assert registry.import_from(tmp_path, target) == 4 and not (target / "old").exists()
 
 
+@pytest.mark.parametrize(
+    ("line", "found"),
+    [
+        ('a.b = "x#y" # backfilled', ("a.b", "backfilled")),
+        ("established = 2001#x ", ("established", "x")),
+        ("# only a comment", None),
+        ("a-b = 1 # no name", None),
+        ("a = 1", None),
+        ("a = 1 #  ", None),
+    ],
+)
+def test_remarks(line, found):
+    assert registry.remark(line) == found
+
+
+@pytest.mark.parametrize(
+    ("said", "found"),
+    [("backfill; capturing began in 2012", 2012), ("began capture in 1999.", 1999), ("(Captures began in 2001)", 2001), ("began in 2001", None), ("captured pages began to age in 2001", None), ("began capturing in May", None)],
+)
+def test_years_in_remarks(said, found):
+    assert registry.began(said) == found
+
+
 def test_store(spark, tmp_path):
     store = Store(spark, str(tmp_path))
     assert not store.has_rows("captures") and store.read("events").schema == S.TABLES["events"]
@@ -94,6 +119,66 @@ def test_store(spark, tmp_path):
     assert store.export(str(tmp_path / "e")) == {"urls": 9, "observations": 0, "captures": 0, "events": 1}
 
 
+def test_a_swap_that_was_cut_off(spark, tmp_path, monkeypatch):
+    """A crash before or between the renames loses nothing: readers see whole events, the next writer goes on."""
+    from chronofold.sources import files
+
+    store = Store(spark, str(tmp_path))
+    ev = lambda *ids: spark.createDataFrame([(i, "state_S0") for i in ids], "url_id string, event_type string")
+    seen = lambda: sorted(r.url_id for r in Store(spark, str(tmp_path)).read("events").collect())
+    store.replace("events", ev("a"))
+    move, moves = files.move, []
+
+    def crash(after):
+        def moved(spark, source, target):
+            if len(moves) == after:
+                raise KeyboardInterrupt
+            moves.append(target)
+            move(spark, source, target)
+
+        monkeypatch.setattr(files, "move", moved)
+        moves.clear()
+        with pytest.raises(KeyboardInterrupt):
+            store.replace("events", ev("b", "c"))
+        monkeypatch.setattr(files, "move", move)
+
+    crash(1)
+    assert seen() == ["a"]
+    crash(2)
+    assert seen() == ["b", "c"]
+    assert store.replace("events", store.read("events").where("url_id = 'b'").unionByName(store.read("events").where("url_id = 'c'").withColumn("url_id", F.lit("d")))) == 2
+    assert seen() == ["b", "d"] and store.replace("events", ev("e")) == 1 and seen() == ["e"]
+
+
+def test_exports_of_many_rows_are_folders(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "o"))
+    store.append("urls", spark.createDataFrame([(f"{i:08x}", "u") for i in range(9)], "url_id string, original_url string"))
+    assert store.export(str(tmp_path / "e"), files_of=5)["urls"] == 9
+    assert (tmp_path / "e/urls.parquet").is_dir() and spark.read.parquet(str(tmp_path / "e/urls.parquet")).count() == 9
+
+
+class Halting(Net):
+    """Domain listings: one archive doesn't answer, one breaks off after its first page."""
+
+    def get(self, url, timeout, limit=None):
+        if "//gone.test" in url or "resumeKey" in url and "//torn.test" in url:
+            return Response(503)
+        answer = super().get(url, timeout, limit)
+        return Response(200, answer.body + b"\n\nkey1") if "//torn.test" in url and "showResumeKey" in url else answer
+
+
+def test_incomplete_discovery_is_told(spark, tmp_path):
+    rows = [["20120101000000", "http://a.com/", "text/html"]]
+    net = Halting(captures={"torn": rows, "whole": rows, "gone": rows})
+    store = Store(spark, str(tmp_path))
+    pick.prepare(store, ["a.com"], NOW, archives=[archive("torn"), archive("whole"), archive("gone")], transport=net, pause=lambda seconds: None)
+    assert store.read("urls").count() == 1
+    assert sorted((r.domain, r.listing, r.gap) for r in pick.incomplete(store).collect()) == [("a.com", "http://gone.test/cdx", "it didn't answer"), ("a.com", "http://torn.test/cdx", "it broke off")]
+    other = Store(spark, str(tmp_path / "other"))
+    pick.prepare(other, ["a.com"], NOW, archives=[archive("whole")], transport=net)
+    assert pick.incomplete(other).count() == 0
+
+
 def test_raw(spark, tmp_path):
     rows = spark.createDataFrame([("u", "w", NOW, '{"body":"abc","x":"1"}'), ("v", "w", NOW, ""), ("z", "y", NOW, '["t"]')], "url_id string, witness string, stored_at timestamp, payload string")
     raw.append(rows, str(tmp_path))
