@@ -43,4 +43,4 @@ def new_only(candidates: DataFrame, existing: DataFrame, keys: list[str]) -> Dat
 
 def sample_rows(df: DataFrame, n: int, key: str, seed: int = 1337) -> DataFrame:
     """A uniform sample of n rows, the same each time."""
-    return df.orderBy(F.xxhash64(F.lit(seed), F.col(key)), *df.columns).limit(n)
+    return df.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), F.col(key), *df.columns).limit(n)

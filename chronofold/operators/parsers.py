@@ -134,7 +134,8 @@ def split_resume(text: Column) -> Column:
     rows = F.from_json(text, _ROWS)
     last = F.get(rows, F.size(rows) - 1)
     keyed = is_table(text) & (F.size(rows) > 1) & (F.size(last) == 1) & (last != F.get(rows, F.lit(0)))
-    after = F.trim(F.get(F.split(F.trim(text), "\n\n"), F.lit(1)))
+    bare = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    after = bare(F.get(F.split(bare(text), "\n\n"), F.lit(1)))
     key = F.when(is_table(text), F.when(keyed, F.get(last, F.lit(0)))).when(after != "", after)
-    body = F.when(is_table(text), F.when(keyed, F.to_json(F.slice(rows, 1, F.size(rows) - 1))).otherwise(text)).otherwise(F.get(F.split(F.trim(text), "\n\n"), F.lit(0)))
+    body = F.when(is_table(text), F.when(keyed, F.to_json(F.slice(rows, 1, F.size(rows) - 1))).otherwise(text)).otherwise(F.get(F.split(bare(text), "\n\n"), F.lit(0)))
     return F.struct(body.alias("body"), key.alias("key"))

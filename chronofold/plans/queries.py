@@ -714,8 +714,3 @@ def q_classify_stored(spark, sf_dir):
     store.append("captures", X.captures(spark, sf_dir))
     classification.classify(store, X.YEARS)
     return store.read("events").withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("event_start", "event_end")})
-
-
-@query()
-def q_reservoir_sample(spark, sf_dir):
-    return dedupe.sample_rows(X.table(spark, sf_dir, "pages").select("page_id", "url"), 25, "url")
