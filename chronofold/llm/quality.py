@@ -14,8 +14,9 @@ Weights and thresholds are learned together by AdaGrad in numpy from at most abo
 ``per_grade`` rated texts of each grade, chosen by a hash of the id, of each at most
 ``sample_chars`` characters from a place chosen by the hash: so the driver holds at most some
 3 * 3,000 * 8,000 characters. Rows whose crc32(id) mod 5 is 0 are held out, never learned
-from. A feature that fewer than ``least_texts`` of the texts have, or fewer than one in fifty
-where these are few, is left out. Thresholds keep their order as the first plus positive
+from. Features are screened first: one stays if ``least_texts`` of the texts have it (one in
+fifty where these are few) and for one of the thresholds the share of these above it lies ``least_z``
+standard errors or more from that of all, so that words which happen to stand in a few rated texts don't drown those that tell. Thresholds keep their order as the first plus positive
 steps. Every text is scored whole.
 
 A null text counts as empty. Ratings that are null, or of ids without a text, are not
@@ -39,7 +40,7 @@ BUCKETS = 1 << 18
 PER_GRADE = 3000
 SAMPLE_CHARS = 8000
 GRADES = 3
-LEAST_TEXTS = 30
+LEAST_TEXTS, LEAST_Z = 8, 4.0
 _LETTERS = bytes(b if chr(b).isalpha() or b >= 128 else 32 for b in range(256))
 _CAPITALS = re.compile(rb"[A-Z]+")
 _hash = xxhash.xxh32_intdigest
@@ -82,16 +83,23 @@ class Model:
         return sigmoid(self.weights[features(text)].sum(dtype=np.float64) - self.thresholds)
 
 
-def train(texts: list[str], grades: list[int], epochs: int = 8, rate: float = 1.0, decay: float = 1e-3, seed: int = 11, least_texts: int = LEAST_TEXTS, counts: dict[int, int] | None = None) -> Model:
+def train(texts: list[str], grades: list[int], epochs: int = 8, rate: float = 1.0, decay: float = 1e-3, seed: int = 11, least_texts: int = LEAST_TEXTS, least_z: float = LEAST_Z, counts: dict[int, int] | None = None) -> Model:
     w, past = np.zeros(BUCKETS), np.full(BUCKETS, 1e-2)
     steps = np.full(GRADES - 1, 1.0)  # the first threshold, then the logarithms of the steps to the next
     steps[0], steps[1:] = -1.0, 0.0
     past_steps = np.full(GRADES - 1, 1.0)
     rng, data = np.random.default_rng(seed), [features(t) for t in texts]
-    # A bucket that few of the texts have would only learn these texts.
-    common = np.bincount(np.concatenate(data), minlength=BUCKETS) >= min(least_texts, 1 + len(data) // 50) if data else None
-    data = [x[common[x]] for x in data]
     y = np.asarray(grades)
+    if data:
+        having = np.concatenate(data)
+        many = np.bincount(having, minlength=BUCKETS)
+        telling = np.zeros(BUCKETS, bool)
+        for k in range(GRADES - 1):
+            above = (y > k).astype(float)
+            share = np.bincount(having, weights=np.repeat(above, [len(x) for x in data]), minlength=BUCKETS) / np.maximum(many, 1)
+            telling |= np.abs(share - above.mean()) * np.sqrt(many) >= least_z * above.std()
+        telling &= many >= min(least_texts, 1 + len(data) // 50)
+        data = [x[telling[x]] for x in data]
     share = np.ones(GRADES) if counts is None else np.array([counts.get(g, 0) / max(1, (y == g).sum()) for g in range(GRADES)])
     share = share / max(1e-9, share[y].mean()) if len(y) else share  # grades weigh as in the corpus, not as drawn
     for _ in range(epochs if len(data) else 0):
