@@ -250,12 +250,13 @@ def q_live_observations(spark, sf_dir):
     return collection.live_observations(answers).select("url_id", "observer", "status", "http_status", "error_class", "content_digest", "response_digest", "content_length", "confidence")
 
 
-@query("SELECT url_id, original_url FROM (SELECT *, row_number() OVER (ORDER BY url_id) AS n FROM (SELECT substr(sha256(url), 1, 24) AS url_id, min(url) AS original_url FROM pages GROUP BY 1)) WHERE n <= 30 AND ('0x' || substr(url_id, 1, 8))::BIGINT % 3 = 1")
+@query("SELECT url_id, original_url, CAST(('0x' || substr(url_id, 1, 8))::BIGINT % 3 AS INTEGER) AS shard FROM (SELECT substr(sha256(url), 1, 24) AS url_id, min(url) AS original_url FROM pages GROUP BY 1)")
 def q_load_urls_shard(spark, sf_dir):
     store = Store(spark, files.scratch(spark, "urls"))
     rows = X.table(spark, sf_dir, "pages").select(U.url_id(F.col("url")).alias("url_id"), F.col("url").alias("original_url"))
     store.append("urls", dedupe.first_wins(rows, ["url_id"], [F.col("original_url")]))
-    return store.load_urls(limit=30, shard=1, shards=3)[0]
+    shards = [store.load_urls(shard=i, shards=3)[0].withColumn("shard", F.lit(i)) for i in range(3)]
+    return shards[0].unionByName(shards[1]).unionByName(shards[2])
 
 
 _MATCH = r"lower(regexp_replace(regexp_replace(netloc, ':(80|443)$', ''), '^www\d*\.', '') || path || CASE WHEN q_all = '' THEN '' ELSE '?' || q_all END)"

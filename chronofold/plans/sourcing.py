@@ -36,7 +36,7 @@ NOW = datetime(2024, 1, 20, tzinfo=timezone.utc)
 
 
 def _write_csv(spark: SparkSession, sf_dir: str, folder: str) -> None:
-    pages = X.table(spark, sf_dir, "pages").where("page_id % 4 <> 3")
+    pages = X.table(spark, sf_dir, "pages")
     kind = F.get(F.array(F.lit("DEEP"), F.lit(""), F.lit(" Root ")), (F.col("page_id") % 3).cast("int"))
     rows = pages.select(F.concat(F.lit(" "), F.col("url"), F.lit("?a=1,2")).alias("url"), (2000 + F.col("page_id") % 20).alias("first_observed_year"), kind.alias("url_type"))
     rows.repartition(3).write.mode("append").option("header", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(folder)
@@ -49,7 +49,7 @@ def _write_index(spark: SparkSession, sf_dir: str, folder: str) -> None:
     X.table(spark, sf_dir, "events").select(F.when(e % 50 == 49, "too short").otherwise(line)).repartition(2).write.mode("append").option("compression", "gzip").text(folder)
 
 
-_CSV = "SELECT url || '?a=1,2' AS url, CAST(2000 + page_id % 20 AS VARCHAR) AS first_observed_year, CASE page_id % 3 WHEN 0 THEN 'deep' WHEN 1 THEN 'unknown' ELSE 'root' END AS url_type FROM pages WHERE page_id % 4 <> 3"
+_CSV = "SELECT url || '?a=1,2' AS url, CAST(2000 + page_id % 20 AS VARCHAR) AS first_observed_year, CASE page_id % 3 WHEN 0 THEN 'deep' WHEN 1 THEN 'unknown' ELSE 'root' END AS url_type FROM pages"
 _GZ = "SELECT 'http://h/' || event_id AS url, strftime(ts, '%Y') AS first_observed_year, 'unknown' AS url_type FROM events WHERE event_id % 5 <> 1 AND event_id % 50 <> 49"
 
 
@@ -399,13 +399,13 @@ def q_domain_listing(spark, sf_dir):
 _PARTS = "SELECT 'u' || page_id AS url_id, url AS original_url FROM pages"
 
 
-@query(f"{_PARTS} UNION ALL {_PARTS} WHERE page_id % 2 = 0")
+@query(f"{_PARTS} UNION ALL {_PARTS}")
 def q_store_parts(spark, sf_dir):
     """Appended parts are one table, files that are no parts are passed over, a table without parts is empty."""
     store = Store(spark, files.scratch(spark, "parts"))
-    rows = X.table(spark, sf_dir, "pages").select(F.concat(F.lit("u"), F.col("page_id").cast("string")).alias("url_id"), F.col("url").alias("original_url"), "page_id")
+    rows = X.table(spark, sf_dir, "pages").select(F.concat(F.lit("u"), F.col("page_id").cast("string")).alias("url_id"), F.col("url").alias("original_url"))
+    store.append("urls", rows)
     store.append("urls", rows)
-    store.append("urls", rows.where("page_id % 2 = 0"))
     files.write_text(spark, f"{store.path('urls')}/notes.tmp", "no part")
     empty = store.read("captures").select("url_id", F.col("memento_url").alias("original_url"))
     return store.read("urls").select("url_id", "original_url").unionByName(empty)

@@ -20,7 +20,10 @@ def expand(spark: SparkSession, path: str) -> list[str]:
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Needs a header with ``url``; year and type may be absent."""
+    """Needs a header with ``url``; year and type may be absent.
+
+    Cells may hold line ends, so a file is read by one task; large lists come as many files.
+    """
     raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
     if "url" not in raw.columns:
         raise ValueError(f"{path} has no column url")

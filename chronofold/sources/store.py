@@ -5,16 +5,23 @@ new parts are written aside, and only if there are any do they take the old ones
 takes two renames. Between them the table's folder is missing; whoever finds it so, a reader
 meanwhile or a session after a crash, reads the new parts, which were whole before the first
 rename, and a writer finishes the swap.
+
+Where a few URLs change, their rows are laid over the table instead (``overlay``): a layer holds
+the URLs it speaks of and their rows, and the last layer that speaks of a URL counts. Layers lie
+in the table's folder, so a swap ends them; ``MOST_LAYERS`` of them are folded into it.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronofold import schemas as S
 from chronofold.sources import files
 
+MOST_LAYERS = 16
 #: Rows up to which a result is one file, written by one task.
 ONE_FILE_ROWS = 5_000_000
 _KNOWN = S.TABLES | {"checkpoints": S.CHECKPOINT_LOG}
@@ -41,14 +48,37 @@ class Store:
         return files.names(self.spark, f"{self.place(table)}/*.parquet")
 
     def has_rows(self, table: str) -> bool:
-        return bool(self.parts(table)) and not self.read(table).isEmpty()
+        return bool(self.parts(table) or self.layers(table)) and not self.read(table).isEmpty()
 
     def read(self, table: str) -> DataFrame:
         """The table, typed and empty if it has no parts; files that are no parts are passed over."""
         schema = _KNOWN[table]
-        if not self.parts(table):
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).option("pathGlobFilter", "*.parquet").parquet(self.place(table))
+        place, layers = self.place(table), self.layers(table)
+        own = self.spark.read.schema(schema).option("pathGlobFilter", "*.parquet").parquet(place) if self.parts(table) else self.spark.createDataFrame([], schema)
+        if not layers:
+            return own
+        rows, spoken = own.withColumn("__layer", F.lit(0)), []
+        for n, at in layers:
+            rows = rows.unionByName(self.spark.read.schema(schema).parquet(f"{at}/rows").withColumn("__layer", F.lit(n)))
+            spoken.append(self.spark.read.schema("url_id string").parquet(f"{at}/touched").withColumn("__last", F.lit(n)))
+        last = reduce(DataFrame.unionByName, spoken).groupBy("url_id").agg(F.max("__last").alias("__last"))
+        return rows.join(last, "url_id", "left").where(F.col("__layer") == F.coalesce("__last", F.lit(0))).select(*schema.names)
+
+    def layers(self, table: str) -> list[tuple[int, str]]:
+        """Number and folder of each layer that was written to its end, in order."""
+        done = files.names(self.spark, f"{self.place(table)}/_layers/*/touched/_SUCCESS")
+        return [(int(at.rsplit("/", 1)[1]), at) for at in (d.removesuffix("/touched/_SUCCESS") for d in done)]
+
+    def overlay(self, table: str, touched: DataFrame, df: DataFrame) -> None:
+        """From now on ``df`` has all rows of the URLs in ``touched``; others stay as they are and aren't written again."""
+        layers = self.layers(table)
+        if len(layers) >= MOST_LAYERS:
+            self.replace(table, self.read(table))
+            layers = []
+        at = f"{self.place(table)}/_layers/{layers[-1][0] + 1 if layers else 1:08d}"
+        files.remove(self.spark, at)
+        self._shaped(table, df).write.parquet(f"{at}/rows")
+        touched.select("url_id").distinct().write.parquet(f"{at}/touched")
 
     def _shaped(self, table: str, df: DataFrame) -> DataFrame:
         """The table's columns and types, instants cut to seconds, missing columns null."""
@@ -110,7 +140,7 @@ class Store:
         """
         target, found = target.rstrip("/"), {}
         for table in S.TABLES:
-            found[table] = _exported(self.spark, self.read(table), f"{target}/{table}.parquet", files_of) if self.parts(table) else 0
+            found[table] = _exported(self.spark, self.read(table), f"{target}/{table}.parquet", files_of) if self.parts(table) or self.layers(table) else 0
         source = f"{self.out}/summary.parquet"
         if files.exists(self.spark, source):
             found["summary"] = _exported(self.spark, self.spark.read.parquet(source), f"{target}/summary.parquet", files_of)

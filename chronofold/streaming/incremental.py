@@ -21,12 +21,10 @@ def reclassify(store: Store, touched: DataFrame, years: dict[str, int], threshol
 
 
 def watch(store: Store, years: dict[str, int], checkpoint: str, threshold: int = S.THRESHOLD) -> StreamingQuery:
-    """A stream over the captures' parts; each batch replaces the events of its URLs and keeps the others."""
+    """A stream over the captures' parts; each batch lays the events of its URLs over the stored ones, which aren't rewritten."""
 
     def batch(df: DataFrame, _: int) -> None:
-        new = reclassify(store, df, years, threshold)
-        old = store.read("events").join(df.select("url_id").distinct(), "url_id", "left_anti")
-        store.replace("events", old.unionByName(new.select(*S.TABLES["events"].names)))
+        store.overlay("events", df, reclassify(store, df, years, threshold))
 
     source = store.spark.readStream.schema(S.TABLES["captures"]).option("pathGlobFilter", "*.parquet").parquet(store.path("captures"))
     return source.writeStream.option("checkpointLocation", checkpoint).foreachBatch(batch).trigger(availableNow=True).start()

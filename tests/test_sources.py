@@ -150,6 +150,26 @@ def test_a_swap_that_was_cut_off(spark, tmp_path, monkeypatch):
     assert seen() == ["b", "d"] and store.replace("events", ev("e")) == 1 and seen() == ["e"]
 
 
+def test_layers(spark, tmp_path, monkeypatch):
+    """The last layer that speaks of a URL counts, also where it has no rows for it; layers are folded in, and end with a swap."""
+    from chronofold.sources import store as module
+
+    monkeypatch.setattr(module, "MOST_LAYERS", 2)
+    store = Store(spark, str(tmp_path))
+    ev = lambda **kinds: spark.createDataFrame([(u, k) for u, ks in kinds.items() for k in ks.split()], "url_id string, event_type string")
+    ids = lambda *u: spark.createDataFrame([(x,) for x in u], "url_id string")
+    seen = lambda: sorted((r.url_id, r.event_type) for r in store.read("events").collect())
+    store.replace("events", ev(a="x y", b="x"))
+    store.overlay("events", ids("a", "c"), ev(a="z", c="x"))
+    assert seen() == [("a", "z"), ("b", "x"), ("c", "x")]
+    store.overlay("events", ids("b", "c"), ev(c="w"))
+    assert seen() == [("a", "z"), ("c", "w")] and len(store.layers("events")) == 2
+    store.overlay("events", ids("d"), ev(d="x"))
+    assert seen() == [("a", "z"), ("c", "w"), ("d", "x")] and len(store.layers("events")) == 1
+    store.replace("events", ev(e="x"))
+    assert seen() == [("e", "x")] and not store.layers("events")
+
+
 def test_exports_of_many_rows_are_folders(spark, tmp_path):
     store = Store(spark, str(tmp_path / "o"))
     store.append("urls", spark.createDataFrame([(f"{i:08x}", "u") for i in range(9)], "url_id string, original_url string"))
