@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Records of a file, so that segments stay near 256 MB.
-RECORDS = 250_000
+#: Bytes of a segment before compression; what a record has besides its payload.
+SEGMENT, FRAME = 256 << 20, 120
 
 
 def storable(payload: Column) -> Column:
@@ -20,7 +20,9 @@ def append(df: DataFrame, out: str) -> None:
     """(url_id, witness, stored_at, payload); empty payloads are passed over."""
     some = df.where(F.trim(F.coalesce("payload", F.lit(""))).isin("", "[]", "{}") == F.lit(False))
     rows = some.select("url_id", "witness", "stored_at", storable(F.col("payload")).alias("payload"))
-    rows.write.mode("append").partitionBy("witness").option("compression", "gzip").option("maxRecordsPerFile", RECORDS).json(f"{out.rstrip('/')}/raw")
+    # Files are cut by records, so their number follows from the mean size.
+    mean = rows.agg(F.avg(F.octet_length("payload"))).first()[0] or 0
+    rows.write.mode("append").partitionBy("witness").option("compression", "gzip").option("maxRecordsPerFile", max(1, int(SEGMENT / (mean + FRAME)))).json(f"{out.rstrip('/')}/raw")
 
 
 def read(spark, out: str) -> DataFrame:

@@ -44,8 +44,8 @@ class Transport(Protocol):
 
 
 class HttpTransport:
-    def get(self, url: str, timeout: float, limit: int | None = None) -> Response:
-        request = urllib.request.Request(url, headers={"User-Agent": AGENT})
+    def get(self, url: str, timeout: float, limit: int | None = None, method: str = "GET") -> Response:
+        request = urllib.request.Request(url, headers={"User-Agent": AGENT}, method=method)
         try:
             try:
                 answer = urllib.request.urlopen(request, timeout=timeout)  # noqa: S310
@@ -71,7 +71,8 @@ class HttpTransport:
         return True
 
     def healthy(self, url: str, timeout: float = 5.0) -> bool:
+        """Whether there is an answer at all; its body isn't asked for."""
         try:
-            return self.get(url, timeout, 1).status < 500
+            return self.get(url, timeout, 1, "HEAD").status < 500
         except FetchError:
             return False

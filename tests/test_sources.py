@@ -205,6 +205,38 @@ def test_raw(spark, tmp_path):
     assert {r.url_id: r.payload for r in raw.read(spark, str(tmp_path)).collect()} == {"u": '{"x":"1","body_length":"3"}', "z": '["t"]'}
 
 
+def test_raw_segments_by_bytes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(raw, "SEGMENT", 10 * (1000 + raw.FRAME))
+    rows = spark.createDataFrame([(f"u{i}", "w", NOW, "x" * 1000) for i in range(35)], "url_id string, witness string, stored_at timestamp, payload string").coalesce(1)
+    raw.append(rows, str(tmp_path))
+    assert len(list((tmp_path / "raw/witness=w").glob("*.json.gz"))) == 4 and raw.read(spark, str(tmp_path)).count() == 35
+
+
+def test_health_asks_for_no_body():
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    from chronofold.sources.transport import HttpTransport
+
+    asked = []
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_HEAD(self):
+            asked.append(self.path)
+            self.send_response(int(self.path[1:]))
+            self.end_headers()
+
+        def log_message(self, *args):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{server.server_port}"
+    assert [HttpTransport().healthy(f"{base}/{s}") for s in (200, 404, 503)] == [True, True, False] and len(asked) == 3
+    server.shutdown()
+    assert not HttpTransport().healthy("http://127.0.0.1:9/x", 0.5)
+
+
 def test_trim_and_dedupe(spark):
     df = spark.createDataFrame([("k", i) for i in range(6)] + [("j", 1), ("j", 2), ("i", 1)], "k string, t int")
     got = sorted((r.k, r.t) for r in dedupe.trim_lifespan(df, ["k"], [F.col("t")]).collect())
