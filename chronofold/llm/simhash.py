@@ -240,18 +240,27 @@ def segments(radius: int, n: int = 0) -> list[int]:
     return [(x ^ (1 << 63)) - (1 << 63) for x in (sum(some) for some in combinations(single, m - radius))]
 
 
-def met(keyed: DataFrame, radius: int, chunk: int = CHUNK) -> DataFrame:
-    """(c, k, node, ``__cf_fp``) to links (a, b) of nodes that meet in a bucket (c, k) within the radius."""
-    hot = keyed.groupBy("c", "k").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > chunk).select("c", "k", F.ceil(F.col("n") / chunk).cast("int").alias("g"))
+def met(keyed: DataFrame, radius: int, chunk: int = CHUNK, coarse: bool = False) -> DataFrame:
+    """(c, k, node, ``__cf_fp``) to links (a, b) of nodes that meet in a bucket (c, k) within the radius.
+
+    With ``coarse`` a bucket of more than ``chunk`` fingerprints isn't compared but linked as a whole,
+    which takes a row for each of its nodes, where somebody checks the links in any case.
+    """
+    first = F.min("node").alias("first")
+    hot = keyed.groupBy("c", "k").agg(F.count(F.lit(1)).alias("n"), first).where(F.col("n") > chunk).select("c", "k", F.ceil(F.col("n") / chunk).cast("int").alias("g"), "first")
     hot = materialise(hot, "hot-buckets")
     if hot.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         hot = F.broadcast(hot)
+    dealt = keyed.join(hot, ["c", "k"], "left")
+    whole = dealt.where(F.col("first").isNotNull()).select(F.col("node").alias("a"), F.col("first").alias("b"))
+    dealt = dealt.where(F.col("first").isNull()) if coarse else dealt
     own = F.pmod(F.xxhash64(f"{OWN}fp"), F.col("g")).cast("int")
-    dealt = keyed.join(hot, ["c", "k"], "left").withColumn("g", F.coalesce("g", F.lit(1))).withColumn("i", own)
+    dealt = dealt.withColumn("g", F.coalesce("g", F.lit(1))).withColumn("i", own)
     dealt = dealt.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
     dealt = dealt.select("c", "k", F.least("i", "j").cast("long").alias("i"), F.greatest("i", "j").cast("long").alias("j"), "node", f"{OWN}fp")
     dealt = dealt.repartition("c", "k", "i", "j").sortWithinPartitions("c", "k", "i", "j")
-    return dealt.mapInArrow(lambda batches: _links(batches, radius), "a long, b long")
+    links = dealt.mapInArrow(lambda batches: _links(batches, radius), "a long, b long")
+    return links.unionByName(whole) if coarse else links
 
 
 def link(codes: DataFrame, radius: int = RADIUS, chunk: int = CHUNK) -> DataFrame:

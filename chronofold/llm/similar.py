@@ -11,7 +11,8 @@ components of links are the groups.
    common shingle never meet, so buckets don't fill up as the corpus grows. Within a bucket
    the fingerprints are compared in bit planes (``simhash.local_roots``); those that differ in
    at most ``RADIUS`` bits may be alike. At 0.8 some 39 bits differ, with a spread of 6, so
-   the radius lies 5 spreads above.
+   the radius lies 5 spreads above. All of a bucket of more than ``BUCKET`` nodes may be alike,
+   as comparing would grow with its square; step 3 tells.
 3. Components of what may be alike are checked by the sets themselves: the texts of one go
    to a task, each once. Pairs are taken by the distance of parity sketches (which, as sizes
    do, leave out no pair of 4/5), only as long as they aren't of one group already.
@@ -42,6 +43,8 @@ from chronofold.llm.simhash import met, mixed, set_fingerprint
 SHARE = (4, 5)
 WORDS = 5
 BITS, RADIUS = 256, 72
+#: Nodes of a bucket that are compared; a larger one may be alike as a whole.
+BUCKET = 2048
 BANDS, ROWS = 24, 5
 CHUNK, CHUNK_SHINGLES, PIVOTS = 512, 1 << 22, 16
 SKETCH = 1024
@@ -230,7 +233,7 @@ def placed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chun
     nodes = rows.groupBy("node", "n", f"{OWN}fp", "keys").agg(F.min(f"{OWN}th").alias(f"{OWN}th"), F.count(F.lit(1)).alias("copies"))
     nodes = materialise(nodes, "similar-nodes")
     keyed = nodes.select("node", f"{OWN}fp", F.posexplode("keys").alias("c", "k")).select(F.col("c").cast("long").alias("c"), "k", "node", f"{OWN}fp")
-    near = components(met(keyed, RADIUS))
+    near = components(met(keyed, RADIUS, BUCKET, coarse=True))
     roots = components(verified(nodes, near, docs, text_col, chunk, chunk_shingles))
     linked = nodes.select("node", "copies").join(roots, "node")
     return join_counted(rows.select(f"{OWN}id", f"{OWN}th", "node"), linked, "node", "copies", rows.count(), outer=True).withColumn("root", F.coalesce("root", "node"))

@@ -49,8 +49,9 @@ def corpus():
     return rows
 
 
-@pytest.mark.parametrize(("chunk", "shingles"), [(512, 1 << 22), (9, 900)])
-def test_similar_against_brute_force(spark, chunk, shingles):
+@pytest.mark.parametrize(("chunk", "shingles", "bucket"), [(512, 1 << 22, 2048), (9, 900, 4)])
+def test_similar_against_brute_force(spark, monkeypatch, chunk, shingles, bucket):
+    monkeypatch.setattr(similar, "BUCKET", bucket)
     rows = corpus()
     want = brute_groups(rows)
     assert len(set(want.values())) < len(rows) - 60
