@@ -92,7 +92,8 @@ def test_a_missing_suffix_list_is_an_error(spark, monkeypatch):
             raise AttributeError("no JVM")
 
     known = suffix.parse_rules(suffix.list_text(spark))
-    assert len(known) > 5000 and suffix.parse_rules(suffix.list_text(NoJvm())) == known  # from the jar
+    # The jar that Spark's client comes in may have an older edition than the JVM finds first.
+    assert len(known) > 5000 and len(set(suffix.parse_rules(suffix.list_text(NoJvm()))) & set(known)) > 5000
     monkeypatch.setattr(suffix, "_jars", lambda: iter(()))
     assert suffix.parse_rules(suffix.list_text(spark)) == known  # from the JVM, wherever its jars lie
     with pytest.raises(FileNotFoundError):
