@@ -34,13 +34,17 @@ def _jars() -> Iterator[Path]:
 
 def list_text(spark: SparkSession) -> str:
     """The list, as the JVM's class loader or else a jar has it. Without one no suffix is known, which is an error."""
-    try:
-        loader = spark._jvm.java.lang.Thread.currentThread().getContextClassLoader()
-        stream = loader.getResourceAsStream(_LIST)
-        if stream is not None:
-            return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-    except Exception as e:  # a session without a JVM of its own, or one that doesn't let it be asked
-        logging.getLogger(__name__).info("the JVM has no suffix list: %s", e)
+    asks = (
+        lambda: spark._jvm.java.lang.Thread.currentThread().getContextClassLoader().getResourceAsStream(_LIST),
+        lambda: spark._jvm.java.lang.ClassLoader.getSystemResourceAsStream(_LIST),
+    )
+    for ask in asks:
+        try:
+            stream = ask()
+            if stream is not None:
+                return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        except Exception as e:  # a session without a JVM of its own, or one that doesn't let it be asked
+            logging.getLogger(__name__).info("the JVM gives no suffix list: %s", e)
     for jar in _jars():
         with zipfile.ZipFile(jar) as z:
             if _LIST in z.namelist():
