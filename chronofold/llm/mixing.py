@@ -12,13 +12,14 @@ expectations of a source's documents are summed along the order of their sizes (
 hash of the id, the id, the whole row), one offset drawn from the seed and the source is
 added, and a document is taken once for every integer its step crosses. Whatever the offset,
 each document enters with its expected number of copies over all seeds. As neighbours are of
-one size, the words taken miss the target by a few of the longest documents at most. Rows of
-the mix come by source and size; what reads them in order has to shuffle them.
+one size, the words taken miss the target by a few of the longest documents at most.
 
 The prefix sum is distributed. One range partitioning puts rows in (source, size, ...)
 order and splits a source of any size over many tasks; positions count within a
 partition, and a table with one row for each partition and source carries the sums across.
-Only that table and the table of sources are ever ordered in one place.
+Only that table and the table of sources are ever ordered in one place. All of this is done on
+rows without texts; whole rows, numbered once, then meet their numbers of copies, in an order
+of their own.
 
 A null text has size 0. A source of size 0 has target 0 and gives nothing. Repeated rows
 are separate rows. An empty table gives an empty table. Other columns travel along.
@@ -72,7 +73,7 @@ def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
     """``docs`` with ``__cf_size``, ``__cf_source_size``, ``__cf_target`` and ``__cf_copies`` (times that the mix takes the row)."""
     spark = docs.sparkSession
     size, source = F.col(f"{OWN}size"), F.col(source_col)
-    rest = F.xxhash64(*(F.col(c) for c in docs.columns))
+    rest = F.xxhash64(*(F.col(c) for c in docs.columns if c != f"{OWN}rid"))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), ceil(docs.count() / PART_ROWS))
     order = [source.asc_nulls_last(), size, F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), F.col(id_col), rest]
     sized = docs if f"{OWN}size" in docs.columns else docs.withColumn(f"{OWN}size", words(F.col(text_col)))
@@ -97,10 +98,14 @@ def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
     return joined.withColumn(f"{OWN}copies", copies).select(*docs.columns, *(c for c in (f"{OWN}size", f"{OWN}source_size", f"{OWN}target", f"{OWN}copies") if c not in docs.columns))
 
 
-def mix(docs: DataFrame, **how) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
     """The mixed corpus: the rows of ``docs``, each as often as it is taken; same columns."""
-    taken = sample(docs, **how).where(F.col(f"{OWN}copies") > 0)
-    return taken.withColumn(f"{OWN}copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col(f"{OWN}copies")))).select(*docs.columns)
+    rows = docs.withColumn(f"{OWN}rest", F.xxhash64(*docs.columns)).withColumn(f"{OWN}size", words(F.col(text_col))).withColumn(f"{OWN}rid", F.monotonically_increasing_id())
+    rows = materialise(rows, "mix-rows")
+    narrow = rows.select(id_col, source_col, f"{OWN}size", f"{OWN}rest", f"{OWN}rid")
+    taken = sample(narrow, id_col, text_col, source_col, **how).where(F.col(f"{OWN}copies") > 0).select(f"{OWN}rid", f"{OWN}copies")
+    each = rows.join(taken, f"{OWN}rid").withColumn(f"{OWN}copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col(f"{OWN}copies"))))
+    return each.select(*docs.columns)
 
 
 def mix_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
