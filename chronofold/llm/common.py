@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 OWN = "__cf_"
 
 #: Bytes in an Arrow batch sent to a Python worker, where the session sets none.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,17 +116,18 @@ def join_counted(rows: DataFrame, table: DataFrame, key: str, n: str, total: int
     return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(cold, key, "left" if outer else "inner"))
 
 
-#: Bits of a filter, 8 MB of a broadcast whatever the number of keys; with very many keys it lets more rows through.
-FILTER_BITS = 1 << 26
+#: Bits of a filter for each key, and at most: 8 MB of a broadcast, however many keys; with very many it lets more rows through.
+KEY_BITS, FILTER_BITS = 64, 1 << 26
 
 
 def may_be_in(rows: DataFrame, key: Column, keys: DataFrame, flag: str) -> DataFrame:
     """``rows`` with a flag that is true wherever the long ``key`` is in the one column of ``keys``, and seldom elsewhere.
 
-    The keys become a bitmap of FILTER_BITS, made of pieces by the executors; rows stay where they are.
+    The keys become a bitmap, made of pieces by the executors; rows stay where they are.
     """
     bucket, bits, at = (f"{OWN}filter_{x}" for x in ("bucket", "bits", "at"))
-    place = lambda x: F.pmod(x, F.lit(FILTER_BITS)) + 1
+    size = min(FILTER_BITS, max(1 << 15, 1 << (KEY_BITS * keys.count()).bit_length()))
+    place = lambda x: F.pmod(x, F.lit(size)) + 1
     wanted = place(F.col(keys.columns[0]))
     table = keys.where(F.col(keys.columns[0]).isNotNull()).groupBy(F.bitmap_bucket_number(wanted).alias(bucket)).agg(F.bitmap_construct_agg(F.bitmap_bit_position(wanted)).alias(bits))
     own = rows.withColumn(bucket, F.bitmap_bucket_number(place(key))).withColumn(at, F.bitmap_bit_position(place(key)))

@@ -17,6 +17,18 @@ def test_counted_join_is_the_join(spark):
     assert "LeftAnti" in plan and "broadcast" in plan
 
 
+def test_the_filter_misses_no_key(spark, monkeypatch):
+    df = spark.range(4000).select("id", F.xxhash64("id").alias("h"))
+    keys = df.where("id % 7 = 0").select("h").union(spark.createDataFrame([(None,)], "h long"))
+    flagged = lambda: common.may_be_in(df.unionByName(spark.createDataFrame([(-1, None)], "id long, h long")), F.col("h"), keys, "may").collect()
+    got = flagged()
+    assert len(got) == 4001 and all(r.may for r in got if r.id >= 0 and r.id % 7 == 0)
+    assert sum(r.may for r in got if r.id % 7) < 200 and not next(r for r in got if r.id == -1).may
+    monkeypatch.setattr(common, "FILTER_BITS", 1 << 10)  # too few bits only let more through
+    assert all(r.may for r in flagged() if r.id >= 0 and r.id % 7 == 0)
+    assert not any(r.may for r in common.may_be_in(df, F.col("h"), keys.where("false"), "may").collect())
+
+
 def test_materialised_tables_are_in_the_shared_folder_and_go(spark):
     df = spark.range(10).withColumn("a", F.array(F.col("id")))
     out = common.materialise(df, "test")
