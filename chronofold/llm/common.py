@@ -53,13 +53,31 @@ def materialise(df: DataFrame, name: str, partition_by: str | None = None) -> Da
     fs.deleteOnExit(p)
     out = spark.read.schema(df.schema).parquet(path)
     out._cf_path = path
+    _MADE.append(out)
     return out
 
 
+#: The tables that are written and not yet deleted, in order.
+_MADE: list[DataFrame] = []
+
+
+def made() -> int:
+    """How many tables there are; what comes after them is what ``release_since`` deletes."""
+    return len(_MADE)
+
+
+def release_since(n: int, keep: DataFrame) -> None:
+    """Delete the tables written after the first ``n`` but one, once nothing reads them."""
+    for df in _MADE[n:]:
+        if df is not keep:
+            release(df)
+
+
 def release(df: DataFrame) -> None:
     """Delete a table that ``materialise`` wrote and no later plan reads."""
     p, fs = _path(df.sparkSession, df._cf_path)
     fs.delete(p, True)
+    _MADE[:] = [x for x in _MADE if x is not df]
 
 
 def bounded_batches(spark: SparkSession) -> None:

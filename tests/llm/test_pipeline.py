@@ -7,13 +7,13 @@ from collections import Counter
 
 import corpus_pipeline
 import pytest
-from chronofold.llm import langid, mixing, packing
+from chronofold.llm import common, langid, mixing, packing
 from chronofold.llm.common import shared_dir
 
 from tests.llm.test_corpus_operators import brute_lines, check_pieces
 from tests.llm.test_similar import brute_groups
 
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars", "hash", "node", "root"]
 
 
 @pytest.fixture(scope="module")
@@ -26,8 +26,10 @@ def corpus(spark, tmp_path_factory):
         text = "\n".join(" ".join(rng.choice(words[lang]) + rng.choice(["", "er", str(i % 9)]) for _ in range(rng.randint(3, 40))) for _ in range(rng.randint(1, 12)))
         rows.append((i, text, lang, f"s{i % 3}", len(text)))
     rows += [(200, "1234 !!", "en", "s0", 7), (201, None, "en", "s1", None), (202, rows[3][1], "en", "s2", 1), (203, rows[4][1] + " end", "en", None, 1)]
+    rows += [(204, " ".join(rng.choice(words["de"]) for _ in range(60_000)), "de", "s1", 1)]  # a very long text
     path = tmp_path_factory.mktemp("corpus")
-    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(str(path / "documents.parquet"))
+    rows = [(*r, i, "x", None) for i, r in enumerate(rows)]  # columns that stages use themselves
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, hash int, node string, root long").repartition(3).write.parquet(str(path / "documents.parquet"))
     return str(path)
 
 
@@ -56,7 +58,9 @@ def test_stages(spark, corpus):
             assert Counter(r.doc_id for r in docs.where("text <> ''").collect()) == {i: n for i, n in want.items() if n}
         if name == "pack":
             check_pieces(rows, [tuple(r) for r in docs.collect()])
+    before = common.made()
     again = corpus_pipeline.run(spark, corpus)
+    assert common.made() == before + 1
     total = lambda df: df.groupBy("doc_id").sum("length").orderBy("doc_id").collect()
     assert total(again) == total(kept["pack"])
 
