@@ -2,7 +2,7 @@
 
 ``run`` applies them to ``documents``; each stage's rows are written as Parquet into the
 shared folder and read again as the next one's input, so a lost executor costs a stage at
-most. All but the last return the columns of ``documents``.
+most; what it was made from is then deleted. All but the last return the columns of ``documents``.
 
 1. language: documents whose language the model rejects go, as do those without a letter.
 2. lines: repeated chunks of lines and repeated long lines go, except where they occur first.
@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from chronofold.llm import langid, linededup, mixing, packing, similar
-from chronofold.llm.common import documents, materialise
+from chronofold.llm.common import documents, made, materialise, release_since
 
 
 #: A line of more words counts as a passage of its own, so that one that repeats is kept once.
@@ -50,7 +50,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    docs, before = documents(spark, sf_dir), made()
     for name, stage in STAGES[:-1]:
         docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+        release_since(before, docs)  # what the stage made on its way, and its input
     return STAGES[-1][1](spark, docs, sf_dir)
