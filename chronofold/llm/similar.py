@@ -235,7 +235,8 @@ def placed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chun
     keyed = nodes.select("node", f"{OWN}fp", F.posexplode("keys").alias("c", "k")).select(F.col("c").cast("long").alias("c"), "k", "node", f"{OWN}fp")
     near = components(met(keyed, RADIUS, BUCKET, coarse=True))
     roots = components(verified(nodes, near, docs, text_col, chunk, chunk_shingles))
-    linked = nodes.select("node", "copies").join(roots, "node")
+    # Nodes of many copies are named even where they have no link, so that their rows stay where they are.
+    linked = nodes.select("node", "copies").join(roots, "node", "left").where("root is not null or copies > 1")
     return join_counted(rows.select(f"{OWN}id", f"{OWN}th", "node"), linked, "node", "copies", rows.count(), outer=True).withColumn("root", F.coalesce("root", "node"))
 
 
