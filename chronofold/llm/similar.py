@@ -131,8 +131,8 @@ def prints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return map_texts(rows, made, f"node long, n long, {OWN}fp binary, keys array<long>", keep=(f"{OWN}id", f"{OWN}th"), text=f"{OWN}t")
 
 
-def checked(nodes: np.ndarray, sets: list[np.ndarray], group: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
-    """Links that connect whatever is alike between nodes marked ``left`` and ``right`` beyond their ``group``."""
+def checked(sets: list[np.ndarray], group: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
+    """Links of groups that connect whatever is alike between nodes marked ``left`` and ``right``: each to the least that it is connected with."""
     up, down = SHARE
     n = np.array([len(s) for s in sets])
     marks = np.stack([sketch(s) for s in sets])
@@ -151,7 +151,6 @@ def checked(nodes: np.ndarray, sets: list[np.ndarray], group: np.ndarray, left:
     if not first:
         return []
     first, second, far = (np.concatenate(x) for x in (first, second, far))
-    links = []
     for at in np.argsort(far, kind="stable"):
         i, j = first[at], second[at]
         if root[i] != root[j]:
@@ -161,33 +160,35 @@ def checked(nodes: np.ndarray, sets: list[np.ndarray], group: np.ndarray, left:
             common = np.count_nonzero(both[1:] == both[:-1])
             if common * (up + down) >= up * len(both):
                 root[root == root[i]] = root[j]
-                links.append((int(nodes[i]), int(nodes[j])))
-    return links
+    least: dict[int, int] = {}
+    for r, g in zip(root.tolist(), group.tolist(), strict=True):
+        least[r] = min(g, least.get(r, g))
+    return sorted({(g, least[r]) for r, g in zip(root.tolist(), group.tolist(), strict=True) if g != least[r]})
 
 
 def _checks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (task, node, group, left, right, text) sorted by task in; links (a, b) out."""
+    """Rows (task, group, left, right, text) sorted by task in; links (a, b) of groups out."""
     held: list[tuple] = []
 
     def work() -> pa.RecordBatch:
-        nodes, group, left, right = (np.array([r[k] for r in held]) for k in range(1, 5))
-        found = checked(nodes, [r[5] for r in held], group, left.astype(bool), right.astype(bool))
+        group, left, right = (np.array([r[k] for r in held]) for k in range(1, 4))
+        found = checked([r[4] for r in held], group, left.astype(bool), right.astype(bool))
         return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns[:5]), batch.column(5), strict=True):
+        for row in zip(*(c.to_pylist() for c in batch.columns[:4]), batch.column(4), strict=True):
             if held and held[0][0] != row[0]:
                 yield work()
                 held = []
-            held.append((*row[:5], shingle_set(row[5].as_py())))
+            held.append((*row[:4], shingle_set(row[4].as_py())))
     if held:
         yield work()
 
 
 def _dealt(tasks: DataFrame) -> DataFrame:
-    """Links of (task, node, group, left, right, text)."""
+    """Links of (task, group, left, right, text)."""
     bounded_batches(tasks.sparkSession)
-    rows = tasks.select("task", "node", "group", "left", "right", f"{OWN}t").repartition("task").sortWithinPartitions("task")
+    rows = tasks.select("task", "group", "left", "right", f"{OWN}t").repartition("task").sortWithinPartitions("task")
     return rows.mapInArrow(_checks, "a long, b long")
 
 
@@ -206,25 +207,29 @@ def verified(nodes: DataFrame, near: DataFrame, docs: DataFrame, text_col: str,
 
     by_hash = F.row_number().over(Window.partitionBy("root").orderBy(F.xxhash64("node"), "node"))
     pivots = wanted.where("g > 1").withColumn("r", by_hash).where(F.col("r") <= PIVOTS).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("g") - 1))).where("j <> i")
-    alone = wanted.select(task("i"), "node", F.col("node").alias("group"), yes.alias("left"), yes.alias("right"), f"{OWN}t")
-    beside = pivots.select(task("j"), "node", F.col("node").alias("group"), no.alias("left"), yes.alias("right"), f"{OWN}t")
+    alone = wanted.select(task("i"), F.col("node").alias("group"), yes.alias("left"), yes.alias("right"), f"{OWN}t")
+    beside = pivots.select(task("j"), F.col("node").alias("group"), no.alias("left"), yes.alias("right"), f"{OWN}t")
     links = materialise(_dealt(alone.unionByName(beside)), "similar-links")
 
     large = wanted.where("g > 1")
     if large.isEmpty():
         return links
-    large = large.join(components(links).withColumnRenamed("root", "group"), "node", "left").withColumn("group", F.coalesce("group", "node"))
+    found = components(links)
+    large = large.join(found.withColumnRenamed("root", "group"), "node", "left").withColumn("group", F.coalesce("group", "node"))
     large = materialise(large, "similar-large")
-    largest = large.groupBy("root", "group").agg(F.count(F.lit(1)).alias("c")).groupBy("root").agg(F.max_by("group", F.struct("c", "group")).alias("largest"), F.sum("c").alias("c"))
-    rest = join_counted(large, largest, "root", "c", large.count()).where("group <> largest")
-    slots = rest.groupBy("root").agg(F.count(F.lit(1)).alias("c"), parts.alias("gr"))
-    total = large.count()
-    rest = join_counted(rest.drop("largest"), slots, "root", "c", total).withColumn("a", F.pmod(F.xxhash64("node", F.lit("rest")), F.col("gr")).cast("int"))
-    some = join_counted(large, slots, "root", "c", total).withColumn("a", F.explode(F.sequence(F.lit(0), F.col("gr") - 1)))
-    rest = rest.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
-    tasks = [df.select(task("a", "i"), "node", "group", on.alias("left"), off.alias("right"), f"{OWN}t") for df, on, off in ((rest, yes, no), (some, no, yes))]
-    more = materialise(_dealt(tasks[0].unionByName(tasks[1])), "similar-more")
-    return links.unionByName(more)
+    each = large.groupBy("root", "group").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("n"))
+    each = each.groupBy("root").agg(F.max_by(F.struct("group", "c", "n"), F.struct("c", "group")).alias("top"), F.sum("c").alias("c"), F.sum("n").alias("n"))
+    # Parts of what is outside the largest group; none if nothing is. Written, as a join reads the table thrice.
+    parts = F.greatest(F.ceil((F.col("c") - F.col("top.c")) / chunk), F.ceil((F.col("n") - F.col("top.n")) / chunk_shingles)).cast("int")
+    each = materialise(each.select("root", F.col("top.group").alias("largest"), "c", parts.alias("gr")), "similar-largest")
+    large = join_counted(large, each, "root", "c", large.count()).where("gr > 0")
+    upto = lambda n: F.sequence(F.lit(0), n - 1)
+    own = F.pmod(F.xxhash64("node", F.lit("rest")), F.col("gr")).cast("int")
+    rest = F.transform(upto(F.col("g")), lambda i: F.struct(own.alias("a"), i.alias("b"), yes.alias("left")))
+    some = F.transform(upto(F.col("gr")), lambda a: F.struct(a.alias("a"), F.col("i").alias("b"), no.alias("left")))
+    large = large.withColumn("at", F.explode(F.when(F.col("group") != F.col("largest"), F.concat(rest, some)).otherwise(some)))
+    more = materialise(_dealt(large.select(task("at.a", "at.b"), "group", "at.left", (~F.col("at.left")).alias("right"), f"{OWN}t")), "similar-more")
+    return found.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)
 
 
 def placed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, chunk_shingles: int = CHUNK_SHINGLES) -> DataFrame:

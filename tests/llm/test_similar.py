@@ -113,3 +113,22 @@ def test_rows_that_repeat_an_id(spark):
     assert kept.columns == ["doc_id", "text", "node", "source"]
     assert sorted((r.doc_id, r.text) for r in kept.collect() if r.doc_id != 3) == [(1, one), (2, two), (4, long), (6, rows[-1][1])]
     assert [r.text for r in kept.collect() if r.doc_id == 3] == [None]
+
+
+def test_plans_of_large_groups_stay_small(spark, monkeypatch):
+    """Joins aren't planned over and over: a plan of very many exchanges costs the driver more than the data does."""
+    dealt, joins = similar._dealt, []
+    monkeypatch.setattr(similar, "_dealt", lambda tasks: joins.append(tasks._jdf.queryExecution().optimizedPlan().toString().count("Join ")) or dealt(tasks))
+    rng = random.Random(3)
+    base = [f"w{rng.randrange(2000)}" for _ in range(60)]
+    rows = [(i, " ".join(f"x{i}-{k}" if k in rng.sample(range(60), 3) else w for k, w in enumerate(base))) for i in range(90)]
+    got = similar.groups(docs_of(spark, [(i, t, "s") for i, t in rows]), chunk=9)
+    assert {r.doc_id: r.component_id for r in got.collect()} == brute_groups(rows)
+    assert len(joins) == 2 and max(joins) <= 4
+
+
+def test_links_of_a_task_are_stars():
+    """Chains within a task would take the components more rounds."""
+    sets = [np.arange(i, i + 30, dtype=np.uint64) for i in range(40)]
+    links = similar.checked(sets, np.arange(139, 99, -1), *np.ones((2, 40), bool))
+    assert sorted(links) == [(i, 100) for i in range(101, 140)]
